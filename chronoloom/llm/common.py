@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.session import ship
+
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -75,6 +77,7 @@ def map_texts(df: DataFrame, carry: list[str], made: str, factory, text: str = "
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     new = StructType.fromDDL(made)
     carry = [c for c in carry if c not in new.fieldNames()]
     d = df.select(*carry, text_or_empty(text).cast("binary").alias("__text"))

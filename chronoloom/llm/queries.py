@@ -4,8 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, quality_rules
-from chronoloom.llm.common import table
+from chronoloom.llm import decontaminate, packing, quality_rules, token_store
+from chronoloom.llm.common import new_path, table
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_token_store(spark, sf_dir):
+    uri = new_path(spark, "tokens")
+    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), uri, tokenizer_file("word_bpe_49k.json"), 2)
+    read = token_store.read_tokens(spark, uri).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return token_store.document_starts(read, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -25,5 +45,5 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_packing": op1_packing, "op5_token_store": op5_token_store, "op8_quality_rules": op8_quality_rules, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
