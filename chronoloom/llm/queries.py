@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, packing, quality_rules, token_store
+from chronoloom.llm import decontaminate, line_crf, packing, quality_rules, token_store
 from chronoloom.llm.common import new_path, table
 
 
@@ -21,6 +21,13 @@ def op1_packing(spark, sf_dir):
     )
 
 
+def op2_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    scored = line_crf.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_token_store(spark, sf_dir):
     uri = new_path(spark, "tokens")
     manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), uri, tokenizer_file("word_bpe_49k.json"), 2)
@@ -45,5 +52,5 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_token_store": op5_token_store, "op8_quality_rules": op8_quality_rules, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op5_token_store": op5_token_store, "op8_quality_rules": op8_quality_rules, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
