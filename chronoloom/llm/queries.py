@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, line_crf, packing, quality_rules, token_store
+from chronoloom.llm import decontaminate, line_crf, packing, quality_rules, simhash, token_store, warc
 from chronoloom.llm.common import new_path, table
 
 
@@ -28,6 +28,10 @@ def op2_line_crf(spark, sf_dir):
     return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_store(spark, sf_dir):
     uri = new_path(spark, "tokens")
     manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), uri, tokenizer_file("word_bpe_49k.json"), 2)
@@ -52,5 +56,11 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op5_token_store": op5_token_store, "op8_quality_rules": op8_quality_rules, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+def op9_warc_revisits(spark, sf_dir):
+    done = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    return done.select("record_id", "canonical_url", "original_id", "status", F.array_join(lines, "\n").alias("headers"), "digest", "n_bytes")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op4_simhash": op4_simhash, "op5_token_store": op5_token_store, "op8_quality_rules": op8_quality_rules, "op9_warc_revisits": op9_warc_revisits, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op9_warc_revisits": warc.ORACLE}
