@@ -34,10 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write_freeing(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_freeing(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and drop the shuffle files that this took."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder written by this package."""
     jvm = spark.sparkContext._jvm
