@@ -91,7 +91,8 @@ def map_texts(df: DataFrame, carry: list[str], made: str, factory, text: str = "
     ship(df.sparkSession)
     new = StructType.fromDDL(made)
     carry = [c for c in carry if c not in new.fieldNames()]
-    d = df.select(*carry, text_or_empty(text).cast("binary").alias("__text"))
+    body = F.col(text) if dict(df.dtypes)[text] == "binary" else text_or_empty(text).cast("binary")
+    d = df.select(*carry, body.alias("__text"))
     schema = StructType([*d.schema.fields[:-1], *[f for f in new.fields if f.name != keep]])
     types = to_arrow_schema(new)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, line_crf, line_dedup, packing, quality_rules, simhash, token_store, warc
+from chronoloom.llm import decontaminate, line_crf, line_dedup, packing, quality_rules, simhash, substring_exact, token_store, warc
 from chronoloom.llm.common import new_path, table
 
 
@@ -39,6 +39,11 @@ def op5_token_store(spark, sf_dir):
     return token_store.document_starts(read, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_suffix_array(spark, sf_dir):
+    d = substring_exact.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark, sf_dir):
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return d.select("doc_id", "n_lines", "n_removed", F.sha2("new_text", 256).alias("kept_sha256"))
@@ -67,5 +72,5 @@ def op9_warc_revisits(spark, sf_dir):
     return done.select("record_id", "canonical_url", "original_id", "status", F.array_join(lines, "\n").alias("headers"), "digest", "n_bytes")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op4_simhash": op4_simhash, "op5_token_store": op5_token_store, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_warc_revisits": op9_warc_revisits, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op4_simhash": op4_simhash, "op5_token_store": op5_token_store, "op6_suffix_array": op6_suffix_array, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_warc_revisits": op9_warc_revisits, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op9_warc_revisits": warc.ORACLE}
