@@ -49,6 +49,12 @@ class Level:
     def bit(self, at: np.ndarray) -> np.ndarray:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+    def rank_one(self, at: int) -> int:
+        step = at // RANK_STEP
+        first = step * (RANK_STEP // 8)
+        word = int.from_bytes(self.bits[first : (at >> 3) + 1].tobytes(), "little")
+        return int(self.ranks[step]) + (word & ((1 << (at - first * 8)) - 1)).bit_count()
+
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place: the directory, then the bits since its last entry."""
         step = at // RANK_STEP
@@ -136,7 +142,7 @@ class TokenFile:
             out[live] |= level.chunks[first : first + count].astype(np.uint32) << (BITS * k)
             bits = np.unpackbits(level.bits[first >> 3 : (first + count + 7) >> 3], bitorder="little")[first & 7 : (first & 7) + count]
             live = live[bits > 0]
-            first, count = int(level.rank(np.array([first]))[0]), len(live)
+            first, count = level.rank_one(first), len(live)
         return out
 
     def document(self, i: int) -> np.ndarray:
@@ -221,13 +227,15 @@ def read_tokens(spark, uri: str, key: str = "doc_id") -> DataFrame:
                 for a in range(0, n, 4096):
                     b = min(n, a + 4096)
                     starts = f.starts[a : b + 1].astype(np.int64)
+                    ids = f.slice(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
+                    cuts = (4 * (starts - starts[0])).tolist()
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(f.doc_ids[a:b], pa.int64(), mask=f.nulls[a:b] > 0),
                             pa.array([path.rsplit("/", 1)[-1]] * (b - a), pa.string()),
                             pa.array(starts[:-1], pa.int64()),
                             pa.array(np.diff(starts), pa.int64()),
-                            pa.array([f.document(i).astype("<u4").tobytes() for i in range(a, b)], pa.binary()),
+                            pa.array([ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                         ],
                         ["key", "file", "local_start", "n_tokens", "ids"],
                     )
