@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, line_crf, line_dedup, packing, quality_rules, simhash, substring_exact, token_store, warc
+from chronoloom.llm import decontaminate, line_crf, line_dedup, packing, passages, quality_rules, simhash, substring_exact, token_store, warc
 from chronoloom.llm.common import new_path, table
 
 
@@ -28,6 +28,10 @@ def op2_line_crf(spark, sf_dir):
     return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_passages(spark, sf_dir):
+    return passages.near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,5 +76,5 @@ def op9_warc_revisits(spark, sf_dir):
     return done.select("record_id", "canonical_url", "original_id", "status", F.array_join(lines, "\n").alias("headers"), "digest", "n_bytes")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op4_simhash": op4_simhash, "op5_token_store": op5_token_store, "op6_suffix_array": op6_suffix_array, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_warc_revisits": op9_warc_revisits, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_packing": op1_packing, "op2_line_crf": op2_line_crf, "op3_passages": op3_passages, "op4_simhash": op4_simhash, "op5_token_store": op5_token_store, "op6_suffix_array": op6_suffix_array, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_warc_revisits": op9_warc_revisits, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op9_warc_revisits": warc.ORACLE}
