@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 
 import regex
 
-_UNUSUAL = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85᠎​﻿]")
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85᠎​﻿])(?=[ \n][^\s\x1c-\x1f\x85᠎​﻿])")
 _PLAIN = re.compile(r"[ \n]?[!-~¡-ÿ]+")
 #: Pre-tokenizer patterns of the two files (fixed values).
@@ -29,18 +28,27 @@ def _shown_bytes() -> dict[int, str]:
 
 
 _SHOWN = _shown_bytes()
+#: The same for whole characters of plain pieces.
+_SHOWN_CHARACTER = {chr(c): chr(c).encode().decode("latin-1").translate(_SHOWN) for c in range(256)}
+_BLANK_ENDS = "\u180e\u200b\ufeff"
+
+
+def _blank(character: str) -> bool:
+    return character.isspace() or character in _BLANK_ENDS
 
 
 class _Cache(dict):
-    """Ids of strings as little-endian unsigned 32-bit bytes; emptied when it holds ``most``."""
+    """Ids of strings as little-endian unsigned 32-bit bytes: the last ``most`` and, of those before, what is asked for again."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.older[key] if key in self.older else self.make(key)
+        self[key] = out
         return out
 
 
@@ -51,45 +59,53 @@ class Encoder:
     strings of special tokens taken as ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.word_end = '"type": "Replace"' in (self.tokenizer.normalizer and str(self.tokenizer.to_str(pretty=False).replace('":"', '": "'))[:4000] or "")
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.units = _Cache(self._unit, most)
         self.first = _Cache(self._piece, most // 4)
         self.spaced = _Cache(self._spaced, most)
 
     def _whole(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_SHOWN))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        shown = "".join([_SHOWN_CHARACTER[c] for c in unit])
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self._whole(piece)
         units = self.units
         if self.word_end:
-            return b"".join([units[x] for x in _WORD_END.findall(piece.lower())])
-        return b"".join([units[x] for x in _BYTE_LEVEL.findall(piece)])
-
-    def _spaced(self, piece: str) -> bytes:
+            found = _WORD_END.findall(piece.lower())
+        else:
+            found = _BYTE_LEVEL.findall(piece)
+        return units[found[0]] if len(found) == 1 else b"".join([units[x] for x in found])
+
+    def _spaced(self, piece: str) -> bytes | None:
+        """Ids of a piece after a space (or with its line break); None where it has white space at an end."""
+        bare = piece[1:] if piece[:1] == "\n" else piece
+        if not bare or _blank(bare[0]) or _blank(bare[-1]):
+            return None
         return self._piece(piece if piece[:1] == "\n" else " " + piece)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _UNUSUAL.search(text):
-            first = self.first
-            return b"".join([first[x] for x in _CUT.split(text)])
         head, *rest = text.replace("\n", " \n").split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+        if head and not _blank(head[-1]):
+            try:
+                return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+            except TypeError:  # a None: runs of white space
+                pass
+        first = self.first
+        return b"".join([first[x] for x in _CUT.split(text)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
