@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Relational operators: metrics, evaluation, resampling, ensembles, forecasting."""

@@ -1,6 +1,639 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and, where SQL can say the same, their DuckDB twins.
+
+Queries are built from the package's operators over the views of ``views``. Floats are
+rounded to six places on both sides, since sums depend on the order of rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from chronoloom.functions import arrays as A
+from chronoloom.functions import distances as D
+from chronoloom.operators import ensemble, evaluate, forecast, metrics, resample
+from chronoloom.plans.views import duck, view
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+KEYS = metrics.KEYS
+K = "estimator, dataset, split, resample"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = duck(sql)
+        return f
+
+    return register
+
+
+def _rounded(df, places: int = 6):
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- metrics -----------------------------------------------------------------------------
+
+
+@query("q_accuracy", f"select {K}, round(avg(case when y_true = y_pred then 1e0 else 0e0 end), 6) as accuracy from clf_cases group by {K}")
+def q_accuracy(spark, sf):
+    return _rounded(metrics.accuracy(view(spark, sf, "clf_cases")))
+
+
+_CLASSES = f"""
+  cm as (select {K}, y_true, y_pred, count(*) as n from CASES group by all),
+  lab as (select {K}, y_true as label from cm union select {K}, y_pred from cm),
+  pc as (select l.*, coalesce((select sum(n) from cm where (cm.estimator, cm.dataset, cm.resample) = (l.estimator, l.dataset, l.resample) and cm.y_true = l.label), 0) as support,
+     coalesce((select sum(n) from cm where (cm.estimator, cm.dataset, cm.resample) = (l.estimator, l.dataset, l.resample) and cm.y_pred = l.label), 0) as predicted,
+     coalesce((select sum(n) from cm where (cm.estimator, cm.dataset, cm.resample) = (l.estimator, l.dataset, l.resample) and cm.y_true = l.label and cm.y_pred = l.label), 0) as hits from lab l),
+  m as (select *, case when support = 0 then 0e0 else hits / cast(support as double) end as recall,
+     case when support + predicted = 0 then 0e0 else 2e0 * hits / cast(support + predicted as double) end as f1 from pc)"""
+
+
+@query("q_bal_acc", f"with {_CLASSES.replace('CASES', 'clf_cases')} select {K}, round(avg(recall), 6) as balanced_accuracy from m where support > 0 group by {K}")
+def q_bal_acc(spark, sf):
+    return _rounded(metrics.class_metrics(view(spark, sf, "clf_cases")).select(*KEYS, "balanced_accuracy"))
+
+
+@query(
+    "q_sens_spec",
+    f"""with {_CLASSES.replace('CASES', 'clf_cases')},
+    o as (select *, row_number() over (partition by {K} order by support, label) as up, row_number() over (partition by {K} order by support desc, label desc) as down from m where support > 0)
+    select {K}, round(max(case when up = 1 then recall end), 6) as sensitivity, round(max(case when down = 1 then recall end), 6) as specificity from o group by {K}""",
+)
+def q_sens_spec(spark, sf):
+    return _rounded(metrics.class_metrics(view(spark, sf, "clf_cases")).select(*KEYS, "sensitivity", "specificity"))
+
+
+@query(
+    "q_f1_binary",
+    f"""with {_CLASSES.replace('CASES', 'clf_cases')},
+    o as (select *, row_number() over (partition by {K} order by support, label) as up from m where support > 0)
+    select {K}, round(max(case when up = 1 then f1 end), 6) as f1 from o group by {K}""",
+)
+def q_f1_binary(spark, sf):
+    return _rounded(metrics.class_metrics(view(spark, sf, "clf_cases")).select(*KEYS, "f1"))
+
+
+@query("q_f1_weighted", f"with {_CLASSES.replace('CASES', 'clf3_cases')} select {K}, round(sum(f1 * support) / sum(support), 6) as f1 from m group by {K}")
+def q_f1_weighted(spark, sf):
+    return _rounded(metrics.class_metrics(view(spark, sf, "clf3_cases")).select(*KEYS, "f1"))
+
+
+@query(
+    "q_logloss",
+    f"""select {K}, round(-avg(ln(greatest(least(case when y_true = 1 then p1 else 1 - p1 end, 1 - 2.220446049250313e-16), 2.220446049250313e-16))), 6) as log_loss
+    from clf_cases group by {K}""",
+)
+def q_logloss(spark, sf):
+    return _rounded(metrics.log_loss(view(spark, sf, "clf_cases")))
+
+
+@query(
+    "q_auroc",
+    f"""with r as (select *, rank() over (partition by {K} order by p1) + (count(*) over (partition by {K}, p1) - 1) / 2e0 as rk from clf_cases)
+    select {K}, round((sum(case when y_true = 1 then rk else 0e0 end) - count(*) filter (y_true = 1) * (count(*) filter (y_true = 1) + 1) / 2e0)
+      / (count(*) filter (y_true = 1) * cast(count(*) filter (y_true = 0) as double)), 6) as auroc from r group by {K}""",
+)
+def q_auroc(spark, sf):
+    return _rounded(metrics.auroc(view(spark, sf, "clf_cases")))
+
+
+@query("q_confusion_matrix", f"select {K}, y_true, y_pred, count(*) as n from clf3_cases group by {K}, y_true, y_pred")
+def q_confusion_matrix(spark, sf):
+    return metrics.contingency(view(spark, sf, "clf3_cases"))
+
+
+@query(
+    "q_mse_rmse_mae",
+    f"select {K}, round(avg((y_true - y_pred) ** 2), 2) as mse, round(sqrt(avg((y_true - y_pred) ** 2)), 4) as rmse, round(avg(abs(y_true - y_pred)), 4) as mae from reg_cases group by {K}",
+)
+def q_mse_rmse_mae(spark, sf):
+    m = metrics.regression_metrics(view(spark, sf, "reg_cases"))
+    return m.select(*KEYS, F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+
+
+@query("q_r2", f"select {K}, round(1 - sum((y_true - y_pred) ** 2) / count(*) / var_pop(y_true), 6) as r2 from reg_cases group by {K}")
+def q_r2(spark, sf):
+    return _rounded(metrics.regression_metrics(view(spark, sf, "reg_cases")).select(*KEYS, "r2"))
+
+
+@query("q_mape", f"select {K}, round(avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)), 6) as mape from reg_cases group by {K}")
+def q_mape(spark, sf):
+    return _rounded(metrics.regression_metrics(view(spark, sf, "reg_cases")).select(*KEYS, "mape"))
+
+
+_PAIRS = f"""t as (select {K}, y_true, y_pred, count(*) as n from clu_cases group by all),
+  ta as (select {K}, y_true, sum(n) as a from t group by all), tb as (select {K}, y_pred, sum(n) as b from t group by all),
+  tn as (select {K}, sum(n) as m from t group by all)"""
+
+
+@query(
+    "q_rand_ari",
+    f"""with {_PAIRS}, s as (select n.*, (select sum(n * (n - 1) / 2e0) from t where t.estimator = n.estimator) as same_pairs,
+      (select sum(a * (a - 1) / 2e0) from ta where ta.estimator = n.estimator) as sa, (select sum(b * (b - 1) / 2e0) from tb where tb.estimator = n.estimator) as sb, m * (m - 1) / 2e0 as pairs from tn n)
+    select {K}, round((pairs + 2 * same_pairs - sa - sb) / pairs, 6) as rand, round((same_pairs - sa * sb / pairs) / ((sa + sb) / 2 - sa * sb / pairs), 6) as adjusted_rand from s""",
+)
+def q_rand_ari(spark, sf):
+    return _rounded(metrics.pair_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "rand", "adjusted_rand"))
+
+
+@query(
+    "q_mi_nmi",
+    f"""with {_PAIRS}, s as (select {K}, sum(n / cast(m as double) * ln(m * n / cast(a * b as double))) as mi from t join ta using ({K}, y_true) join tb using ({K}, y_pred) join tn using ({K}) group by all),
+    ha as (select {K}, -sum(a / cast(m as double) * ln(a / cast(m as double))) as h from ta join tn using ({K}) group by all),
+    hb as (select {K}, -sum(b / cast(m as double) * ln(b / cast(m as double))) as g from tb join tn using ({K}) group by all)
+    select {K}, round(mi, 6) as mutual_information, round(mi / ((h + g) / 2), 6) as normalised_mi from s join ha using ({K}) join hb using ({K})""",
+)
+def q_mi_nmi(spark, sf):
+    return _rounded(metrics.pair_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "mutual_information", "normalised_mi"))
+
+
+@query("q_clacc")
+def q_clacc(spark, sf):
+    return _rounded(metrics.matched_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "clustering_accuracy"))
+
+
+@query("q_ami")
+def q_ami(spark, sf):
+    return _rounded(metrics.matched_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "adjusted_mi"))
+
+
+# --- evaluation --------------------------------------------------------------------------
+
+_FACTS = f"f as (select {K}, avg(case when y_true = y_pred then 1e0 else 0e0 end) as value from clf_cases group by {K})"
+_GAPS = f"{_FACTS}, g as (select * from f where not (estimator = 'part' and dataset = '1-URGENT' and resample = 2))"
+_MEANS = f"{_FACTS}, m as (select dataset, estimator, avg(value) as value from f group by dataset, estimator)"
+_RANKS = f"{_MEANS}, r as (select *, rank() over (partition by dataset order by value desc) + (count(*) over (partition by dataset, value) - 1) / 2e0 as rk from m)"
+
+
+def _facts(spark, sf):
+    return metrics.accuracy(view(spark, sf, "clf_cases")).withColumnRenamed("accuracy", "value")
+
+
+def _means(spark, sf):
+    return evaluate.mean_over_resamples(_facts(spark, sf))
+
+
+def _gaps(spark, sf):
+    return _facts(spark, sf).where("not (estimator = 'part' and dataset = '1-URGENT' and resample = 2)")
+
+
+@query("q_mean_over_resamples", f"with {_MEANS} select dataset, estimator, round(value, 6) as value from m")
+def q_mean_over_resamples(spark, sf):
+    return _rounded(_means(spark, sf))
+
+
+@query("q_rank_ties", f"with {_RANKS} select dataset, estimator, round(value, 6) as value, rk as rank from r")
+def q_rank_ties(spark, sf):
+    return _rounded(evaluate.ranks(_means(spark, sf)))
+
+
+@query("q_avg_rank_summary", f"with {_RANKS} select estimator, round(avg(value), 6) as mean_value, round(avg(rk), 6) as avg_rank from r group by estimator")
+def q_avg_rank_summary(spark, sf):
+    return _rounded(evaluate.summary(_means(spark, sf)))
+
+
+@query("q_missing_report", f"with {_GAPS} select e.estimator, d.dataset, r.resample from (select distinct estimator from g) e, (select distinct dataset from g) d, (select distinct resample from g) r where not exists (select 1 from g where (g.estimator, g.dataset, g.resample) = (e.estimator, d.dataset, r.resample))")
+def q_missing_report(spark, sf):
+    return evaluate.missing(_gaps(spark, sf))
+
+
+@query("q_complete_datasets", f"with {_GAPS} select dataset from g group by dataset having count(distinct (estimator, resample)) = (select count(distinct estimator) * count(distinct resample) from g)")
+def q_complete_datasets(spark, sf):
+    return evaluate.complete_datasets(_gaps(spark, sf))
+
+
+@query("q_results_pivot", f"with {_MEANS} select dataset, round(max(value) filter (estimator = 'part'), 6) as part, round(max(value) filter (estimator = 'quantity'), 6) as quantity, round(max(value) filter (estimator = 'supplier'), 6) as supplier from m group by dataset")
+def q_results_pivot(spark, sf):
+    return _rounded(_means(spark, sf).groupBy("dataset").pivot("estimator", ["part", "quantity", "supplier"]).agg(F.max("value")))
+
+
+@query("q_win_draw_loss", f"with {_MEANS} select a.estimator as a, b.estimator as b, count(*) filter (a.value > b.value) as wins, count(*) filter (a.value = b.value) as draws, count(*) filter (a.value < b.value) as losses from m a join m b on a.dataset = b.dataset and a.estimator <> b.estimator group by 1, 2")
+def q_win_draw_loss(spark, sf):
+    return evaluate.win_draw_loss(_means(spark, sf))
+
+
+@query("q_pairwise_scatter", f"with {_MEANS} select a.dataset, a.estimator as a, b.estimator as b, round(a.value, 6) as value_a, round(b.value, 6) as value_b from m a join m b on a.dataset = b.dataset and a.estimator <> b.estimator")
+def q_pairwise_scatter(spark, sf):
+    return _rounded(evaluate.paired(_means(spark, sf)))
+
+
+@query(
+    "q_wilcoxon_w",
+    f"""with {_MEANS}, d as (select a.estimator as a, b.estimator as b, a.value - b.value as d from m a join m b on a.dataset = b.dataset and a.estimator <> b.estimator where a.value <> b.value),
+    k as (select *, rank() over (partition by a, b order by abs(d)) + (count(*) over (partition by a, b, abs(d)) - 1) / 2e0 as rk from d)
+    select a, b, sum(case when d > 0 then rk else 0e0 end) as w_plus, sum(case when d < 0 then rk else 0e0 end) as w_minus, count(*) as n from k group by a, b""",
+)
+def q_wilcoxon_w(spark, sf):
+    return evaluate.signed_ranks(_means(spark, sf))
+
+
+@query("q_wilcoxon_p")
+def q_wilcoxon_p(spark, sf):
+    return _rounded(evaluate.p_values(_means(spark, sf)))
+
+
+@query("q_dedupe_last", "select o_custkey, max_by(o_orderkey, o_orderkey) as o_orderkey, max_by(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey")
+def q_dedupe_last(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_totalprice", "o_orderkey")
+    return evaluate.last_written(o, ["o_custkey"], "o_orderkey")
+
+
+_UNITS = {"nanoseconds": 1e-6, "microseconds": 1e-3, "milliseconds": 1.0, "seconds": 1e3, "minutes": 6e4, "hours": 3.6e6, "days": 8.64e7}
+
+
+def to_milliseconds(value, unit):
+    """Time in milliseconds; an unknown unit is an error."""
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for p in _UNITS.items() for x in p]), F.lower(F.trim(unit)))
+    return value * F.when(scale.isNull(), F.raise_error(F.concat(F.lit("unknown time unit "), unit))).otherwise(scale)
+
+
+@query("q_time_to_ms", "select run, round(fit * case unit when 'seconds' then 1e3 when 'milliseconds' then 1e0 when 'minutes' then 6e4 when 'nanoseconds' then 1e-6 else 3.6e6 end, 1) as ms from runs_time")
+def q_time_to_ms(spark, sf):
+    return _rounded(view(spark, sf, "runs_time").select("run", to_milliseconds(F.col("fit"), F.col("unit")).alias("ms")), 1)
+
+
+@query("q_prob_verify", f"select {K}, count(*) filter (p1 + (1 - p1) between 0.99999 and 1.00001 and p1 between 0 and 1) as good, count(*) as n from clf_cases group by {K}")
+def q_prob_verify(spark, sf):
+    c = view(spark, sf, "clf_cases").withColumn("probs", F.array(1 - F.col("p1"), F.col("p1")))
+    ok = A.total(F.col("probs")).between(0.99999, 1.00001) & F.forall("probs", lambda p: p.between(0, 1))
+    return c.groupBy(*KEYS).agg(F.count_if(ok).alias("good"), F.count("*").alias("n"))
+
+
+@query("q_argmax_pred", "select vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as y_pred from embeddings")
+def q_argmax_pred(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("p", F.slice("embedding", 1, 10))
+    return e.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("y_pred"))
+
+
+@query("q_label_encode", "select event_id, dense_rank() over (order by event_type) - 1 as code from events")
+def q_label_encode(spark, sf):
+    # The dictionary is as short as the number of labels; cases join to it without a global window.
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    labels = e.select("event_type").distinct()
+    codes = labels.agg(F.sort_array(F.collect_set("event_type")).alias("l")).select(F.posexplode("l").alias("code", "event_type"))
+    return e.join(codes, "event_type").select("event_id", F.col("code").cast("long").alias("code"))
+
+
+@query("q_minority_majority", "with c as (select p_type as dataset, p_size % 5 as label, count(*) as n from part group by all) select dataset, arg_min(label, (n, label)) as minority, arg_max(label, (n, label)) as majority from c group by dataset")
+def q_minority_majority(spark, sf):
+    c = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_type").alias("dataset"), (F.col("p_size") % 5).alias("label")).agg(F.count("*").alias("n"))
+    return c.groupBy("dataset").agg(F.min_by("label", F.struct("n", "label")).alias("minority"), F.max_by("label", F.struct("n", "label")).alias("majority"))
+
+
+@query("q_same_resample", "with a as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag as y from lineitem), b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 100 = 0 then 'X' else l_returnflag end as y from lineitem where l_suppkey % 50 <> 0) select count(*) filter (a.y <> b.y) as differ, count(*) filter (a.y is null or b.y is null) as unmatched from a full join b using (l_orderkey, l_linenumber, l_partkey, l_suppkey)")
+def q_same_resample(spark, sf):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    a = li.select(*keys, F.col("l_returnflag").alias("y"))
+    b = li.where("l_suppkey % 50 <> 0").select(*keys, F.when(F.col("l_partkey") % 100 == 0, "X").otherwise(F.col("l_returnflag")).alias("z"))
+    both = a.join(b, keys, "full")
+    return both.agg(F.count_if(F.col("y") != F.col("z")).alias("differ"), F.count_if(F.col("y").isNull() | F.col("z").isNull()).alias("unmatched"))
+
+
+@query("q_skip_existing", "select c.c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+def q_skip_existing(spark, sf):
+    c, o = spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/orders.parquet")
+    return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+# --- resampling --------------------------------------------------------------------------
+
+_HASH = "(((({k} % 65536) * 40503 + ({k} // 65536) * 30011 + {s} * 7919) % 4294967296 * 69069 + 12345) % 4294967296)"
+
+
+@query("q_resample", f"select vec_id, case when row_number() over (order by {_HASH.format(k='vec_id', s=1)}, vec_id) <= 300 then 'train' else 'test' end as split from embeddings")
+def q_resample(spark, sf):
+    return resample.resample(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id"), "vec_id", 300, 1)
+
+
+@query("q_stratified_resample", f"select vec_id, label, case when row_number() over (partition by label order by {_HASH.format(k='vec_id', s=2)}, vec_id) <= count(*) filter (vec_id % 3 = 0) over (partition by label) then 'train' else 'test' end as split from embeddings")
+def q_stratified_resample(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label")
+    return resample.stratified_resample(e, "vec_id", "label", F.col("vec_id") % 3 == 0, 2)
+
+
+@query("q_stratified_kfold", f"select vec_id, label, cast((row_number() over (partition by label order by {_HASH.format(k='vec_id', s=0)}, vec_id) - 1) % 10 as int) as fold from embeddings")
+def q_stratified_kfold(spark, sf):
+    return resample.folds(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label"), "vec_id", 10, 0, "label")
+
+
+@query("q_kfold", f"select vec_id, cast((row_number() over (order by {_HASH.format(k='vec_id', s=0)}, vec_id) - 1) % 10 as int) as fold from embeddings")
+def q_kfold(spark, sf):
+    return resample.folds(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id"), "vec_id", 10)
+
+
+@query("q_hashed_split", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when {_HASH.format(k='l_orderkey', s=3)} < 3006477107 then 'train' else 'test' end as split from lineitem")
+def q_hashed_split(spark, sf):
+    return resample.hashed_split(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", 0.7, 3)
+
+
+# --- series ------------------------------------------------------------------------------
+
+
+def _series(spark, sf):
+    return A.series(view(spark, sf, "ts_long"), ["user_id"])
+
+
+def _points(df, name="v"):
+    return df.select("user_id", F.posexplode(name).alias("t", "v")).select("user_id", F.col("t").cast("long").alias("t"), F.round("v", 6).alias("v"))
+
+
+@query("q_znorm", "select user_id, t, round((v - avg(v) over w) / stddev_pop(v) over w, 6) as v from ts_long window w as (partition by user_id)")
+def q_znorm(spark, sf):
+    return _points(_series(spark, sf).select("user_id", A.znorm(F.col("x")).alias("v")))
+
+
+@query("q_pad_zero", "with n as (select user_id, count(*) as n from ragged_long group by user_id), m as (select max(n) as m from n) select u.user_id, g.t, round(coalesce(r.v, 0e0), 6) as v from n u cross join m cross join (select unnest(range(0, (select m from m))) as t) g left join ragged_long r on r.user_id = u.user_id and r.t = g.t")
+def q_pad_zero(spark, sf):
+    s = A.series(view(spark, sf, "ragged_long"), ["user_id"])
+    return _points(s.crossJoin(s.agg(F.max(F.size("x")).alias("m"))).select("user_id", A.pad(F.col("x"), F.col("m")).alias("v")))
+
+
+@query("q_pad_stat", "with n as (select user_id, count(*) as n, avg(v) as a from ragged_long group by user_id), m as (select max(n) as m from n) select u.user_id, g.t, round(coalesce(r.v, u.a), 6) as v from n u cross join m cross join (select unnest(range(0, (select m from m))) as t) g left join ragged_long r on r.user_id = u.user_id and r.t = g.t")
+def q_pad_stat(spark, sf):
+    s = A.series(view(spark, sf, "ragged_long"), ["user_id"])
+    return _points(s.crossJoin(s.agg(F.max(F.size("x")).alias("m"))).select("user_id", A.pad(F.col("x"), F.col("m"), "mean").alias("v")))
+
+
+@query("q_diff", "select user_id, t - 1 as t, round(v - p, 6) as v from (select user_id, t, v, lag(v) over (partition by user_id order by t) as p from ts_long) where p is not null")
+def q_diff(spark, sf):
+    return _points(_series(spark, sf).select("user_id", A.diff(F.col("x")).alias("v")))
+
+
+@query("q_derivative", "select user_id, t - 1 as t, round(((v - p) + (n - p) / 2) / 2, 6) as v from (select user_id, t, v, lag(v) over w as p, lead(v) over w as n from ts_long window w as (partition by user_id order by t)) where p is not null and n is not null")
+def q_derivative(spark, sf):
+    return _points(_series(spark, sf).select("user_id", A.derivative(F.col("x")).alias("v")))
+
+
+@query("q_acf", "with p as (select user_id, l.lag as lag, v as a, lead(v, 1) over w as b1, lead(v, 2) over w as b2, lead(v, 3) over w as b3 from ts_long, (select 1 as lag) l window w as (partition by user_id order by t)) select user_id, round(corr(a, b1), 6) as acf1, round(corr(a, b2), 6) as acf2, round(corr(a, b3), 6) as acf3 from p group by user_id")
+def q_acf(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", *[A.autocorrelation(F.col("x"), k).alias(f"acf{k}") for k in (1, 2, 3)]))
+
+
+@query("q_sliding_windows", "select user_id, t as start, round(a, 6) as total from (select user_id, t, sum(v) over (partition by user_id order by t rows between current row and 6 following) as a, count(*) over (partition by user_id order by t rows between current row and 6 following) as n from ts_long) where n = 7")
+def q_sliding_windows(spark, sf):
+    w = _series(spark, sf).select("user_id", F.posexplode(A.windows(F.col("x"), 7)).alias("start", "w"))
+    return w.select("user_id", F.col("start").cast("long").alias("start"), F.round(A.total(F.col("w")), 6).alias("total"))
+
+
+_ROLL = "over (partition by user_id order by t rows between 4 preceding and current row)"
+
+
+@query("q_rolling_stats", f"select user_id, t, round(avg(v) {_ROLL}, 6) as mean, round(stddev_pop(v) {_ROLL}, 6) as std from ts_long")
+def q_rolling_stats(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("t").rowsBetween(-4, 0)
+    t = view(spark, sf, "ts_long")
+    return t.select("user_id", F.col("t").cast("long").alias("t"), F.round(F.avg("v").over(w), 6).alias("mean"), F.round(F.stddev_pop("v").over(w), 6).alias("std"))
+
+
+@query("q_summary_stats", "select user_id, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(min(v), 6) as low, round(max(v), 6) as high, round(median(v), 6) as median, round(regr_slope(v, t), 6) as slope from ts_long group by user_id")
+def q_summary_stats(spark, sf):
+    x = F.col("x")
+    return _rounded(_series(spark, sf).select("user_id", A.mean(x).alias("mean"), F.sqrt(A.variance(x)).alias("std"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), A.median(x).alias("median"), A.slope(x).alias("slope")))
+
+
+@query("q_interval_features", "select user_id, t // 10 as interval, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(regr_slope(v, t), 6) as slope from ts_long where t < 30 group by user_id, t // 10")
+def q_interval_features(spark, sf):
+    x = F.slice("x", F.col("interval").cast("int") * 10 + 1, F.lit(10))
+    s = _series(spark, sf).withColumn("interval", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least(F.size("x"), F.lit(30)) - 1) / 10))))
+    return _rounded(s.select("user_id", "interval", A.mean(x).alias("mean"), F.sqrt(A.variance(x)).alias("std"), A.slope(x).alias("slope")))
+
+
+@query("q_longest_run", "with f as (select user_id, t, v > avg(v) over (partition by user_id) as up from ts_long), g as (select *, t - row_number() over (partition by user_id, up order by t) as island from f), r as (select user_id, count(*) as n from g where up group by user_id, island) select u.user_id, coalesce(max(n), 0) as stretch_high from (select distinct user_id from f) u left join r using (user_id) group by u.user_id")
+def q_longest_run(spark, sf):
+    return _series(spark, sf).select("user_id", A.stretch_high(F.col("x")).cast("long").alias("stretch_high"))
+
+
+@query("q_trev", "select user_id, round(avg((v - p) ** 3), 4) as trev from (select user_id, v, lag(v) over (partition by user_id order by t) as p from ts_long) where p is not null group by user_id")
+def q_trev(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", A.trev(F.col("x")).alias("trev")), 4)
+
+
+@query("q_pnn40", "with z as (select user_id, t, (v - avg(v) over w) / stddev_pop(v) over w as z from ts_long window w as (partition by user_id)), d as (select user_id, abs(z - lag(z) over (partition by user_id order by t)) * 1000 as d from z) select user_id, round(avg(case when d > 40 then 1e0 else 0e0 end), 6) as pnn40 from d where d is not null group by user_id")
+def q_pnn40(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", A.pnn40(F.col("x")).alias("pnn40")))
+
+
+@query("q_hist_mode", "with b as (select user_id, v, min(v) over w as lo, (max(v) over w - min(v) over w) / 5 as width from ts_long window w as (partition by user_id)), c as (select user_id, lo, width, least(cast(floor((v - lo) / width) as int), 4) as bin, count(*) as n from b group by all), d as (select *, max(n) over (partition by user_id) as top from c) select user_id, round(avg(lo + (bin + 5e-1) * width), 6) as mode_5 from d where n = top group by user_id")
+def q_hist_mode(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", A.histogram_mode(F.col("x"), 5).alias("mode_5")))
+
+
+@query("q_word_bag")
+def q_word_bag(spark, sf):
+    w = _series(spark, sf).select("user_id", F.explode(A.windows(F.col("x"), 8)).alias("w")).select("user_id", A.word(F.col("w"), 4, 4).alias("word"))
+    return w.groupBy("user_id", "word").agg(F.count("*").alias("n"))
+
+
+@query("q_rocket_ppv_max", "with c as (select user_id, t, -1 * v + 2 * lead(v, 2) over w - lead(v, 4) over w - 10 as c from ts_long window w as (partition by user_id order by t)) select user_id, round(avg(case when c > 0 then 1e0 else 0e0 end), 6) as ppv, round(max(c), 6) as top from c where c is not null group by user_id")
+def q_rocket_ppv_max(spark, sf):
+    ppv, top = A.rocket(F.col("x"), [-1.0, 2.0, -1.0], -10.0, dilation=2)
+    return _rounded(_series(spark, sf).select("user_id", ppv.alias("ppv"), top.alias("top")))
+
+
+# --- distances ---------------------------------------------------------------------------
+
+
+def _neighbours(spark, sf, points: int = 30):
+    """Each series beside that of the next user id: an equi-join, one pair a user."""
+    s = _series(spark, sf).withColumn("x", F.slice("x", 1, points))
+    other = s.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("y"))
+    return s.join(other, "user_id")
+
+
+_BESIDE = "with l as (select user_id, list(v order by t) as x from ts_long group by user_id)"
+
+
+@query("q_euclid", f"{_BESIDE} select a.user_id, round(list_distance(a.x[1:30], b.x[1:30]), 6) as d from l a join l b on b.user_id = a.user_id + 1")
+def q_euclid(spark, sf):
+    return _rounded(_neighbours(spark, sf).select("user_id", D.euclidean(F.col("x"), F.col("y")).alias("d")))
+
+
+@query("q_minkowski", f"{_BESIDE} select a.user_id, round(list_sum(list_transform(list_zip(a.x[1:30], b.x[1:30]), lambda z: abs(z[1] - z[2]) ** 3)) ** (1e0 / 3), 6) as d from l a join l b on b.user_id = a.user_id + 1")
+def q_minkowski(spark, sf):
+    return _rounded(_neighbours(spark, sf).select("user_id", D.minkowski(F.col("x"), F.col("y"), 3).alias("d")))
+
+
+def _elastic(name: str, points: int = 12, **parameters):
+    @query(f"q_{name}")
+    def q(spark, sf):
+        return _rounded(_neighbours(spark, sf, points).select("user_id", D.distance(name, F.col("x"), F.col("y"), **parameters).alias("d")))
+
+    return q
+
+
+for _name, _more in (("dtw", {}), ("ddtw", {}), ("wdtw", {}), ("adtw", {}), ("msm", {}), ("erp", {}), ("lcss", {}), ("edr", {"epsilon": 10.0}), ("twe", {})):
+    _elastic(_name, **_more)
+
+
+@query(
+    "q_1nn_ed",
+    """with p as (select a.vec_id, b.vec_id as other, b.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (cast(z[1] as double) - cast(z[2] as double)) ** 2)) as d
+      from embeddings a, embeddings b where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0)
+    select vec_id, arg_min(label, (round(d, 9), other)) as y_pred from p group by vec_id""",
+)
+def q_1nn_ed(spark, sf):
+    """Queries, every tenth vector, against all others; the query set is joined in blocks of its own size."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("x", F.col("embedding").cast("array<double>"))
+    test = e.where("vec_id % 10 = 0").select("vec_id", "x")
+    train = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("other"), "label", F.col("x").alias("y"))
+    pairs = test.crossJoin(train).withColumn("d", F.round(D.squared(F.col("x"), F.col("y")), 9))
+    return pairs.groupBy("vec_id").agg(F.min_by("label", F.struct("d", "other")).alias("y_pred"))
+
+
+@query("q_shapelet_dist")
+def q_shapelet_dist(spark, sf):
+    s = _series(spark, sf)
+    shapelet = s.orderBy("user_id").limit(1).select(F.slice("x", 6, 8).alias("s"))
+    return _rounded(s.crossJoin(shapelet).select("user_id", A.shapelet_distance(F.col("x"), F.col("s")).alias("d")))
+
+
+@query("q_hist_intersection", "with h as (select user_id, event_type, count(*) as n from events group by all) select a.user_id, cast(sum(least(a.n, b.n)) as bigint) as shared from h a join h b on b.user_id = a.user_id + 1 and a.event_type = b.event_type group by a.user_id")
+def q_hist_intersection(spark, sf):
+    h = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    other = h.select((F.col("user_id") - 1).alias("user_id"), "event_type", F.col("n").alias("m"))
+    return h.join(other, ["user_id", "event_type"]).groupBy("user_id").agg(F.sum(F.least("n", "m")).alias("shared"))
+
+
+# --- quality of splits -------------------------------------------------------------------
+
+
+@query(
+    "q_info_gain",
+    """with e as (select label, cast(embedding[1] as double) as d, cast(label < 5 as int) as c from embeddings),
+    g as (select d, sum(c) as c1, count(*) - sum(c) as c0 from e group by d),
+    s as (select d, sum(c1) over (order by d) as l1, sum(c0) over (order by d) as l0, sum(c1) over () as t1, sum(c0) over () as t0 from g),
+    h as (select d, l1 + l0 as l, t1 + t0 - l1 - l0 as r, l1, l0, t1 - l1 as r1, t0 - l0 as r0, t1, t0, t1 + t0 as n from s where t1 + t0 > l1 + l0),
+    i as (select d, (case when t1 > 0 then -t1 / n * log2(t1 / n) else 0 end + case when t0 > 0 then -t0 / n * log2(t0 / n) else 0 end)
+      - l / n * (case when l1 > 0 then -l1 / l * log2(l1 / l) else 0 end + case when l0 > 0 then -l0 / l * log2(l0 / l) else 0 end)
+      - r / n * (case when r1 > 0 then -r1 / r * log2(r1 / r) else 0 end + case when r0 > 0 then -r0 / r * log2(r0 / r) else 0 end) as gain from h)
+    select round(max(gain), 6) as gain from i""",
+)
+def q_info_gain(spark, sf):
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.get("embedding", F.lit(0)).cast("double").alias("d"), (F.col("label") < 5).cast("int").alias("c"))
+    g = e.groupBy("d").agg(F.sum("c").cast("double").alias("c1"), F.count_if(F.col("c") == 0).cast("double").alias("c0"))
+    w, every = Window.orderBy("d"), Window.partitionBy()
+    s = g.select(F.sum("c1").over(w).alias("l1"), F.sum("c0").over(w).alias("l0"), F.sum("c1").over(every).alias("t1"), F.sum("c0").over(every).alias("t0"))
+
+    def entropy(a, b):
+        part = lambda x: F.when(x > 0, -x / (a + b) * F.log2(x / (a + b))).otherwise(0.0)
+        return part(a) + part(b)
+
+    l1, l0, t1, t0 = (F.col(c) for c in ("l1", "l0", "t1", "t0"))
+    n, left = t1 + t0, l1 + l0
+    gain = entropy(t1, t0) - left / n * entropy(l1, l0) - (n - left) / n * entropy(t1 - l1, t0 - l0)
+    return s.where(left < n).agg(F.round(F.max(gain), 6).alias("gain"))
+
+
+@query(
+    "q_gini_gain",
+    """with c as (select p_brand as leaf, p_size % 3 as label, count(*) as n from part group by all), l as (select leaf, sum(n) as m, 1 - sum(cast(n as double) ** 2) / sum(n) ** 2 as g from c group by leaf),
+    t as (select label, sum(n) as n from c group by label), p as (select 1 - sum(cast(n as double) ** 2) / sum(n) ** 2 as g, sum(n) as n from t)
+    select round((select g from p) - sum(m * g) / (select n from p), 6) as gini_gain from l""",
+)
+def q_gini_gain(spark, sf):
+    c = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_brand").alias("leaf"), (F.col("p_size") % 3).alias("label")).agg(F.count("*").cast("double").alias("n"))
+    gini = 1 - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
+    leaves = c.groupBy("leaf").agg(F.sum("n").alias("m"), gini.alias("g")).agg(F.sum(F.col("m") * F.col("g")).alias("inner"), F.sum("m").alias("n"))
+    parent = c.groupBy("label").agg(F.sum("n").alias("n")).agg(gini.alias("g"))
+    return leaves.crossJoin(parent).select(F.round(F.col("g") - F.col("inner") / F.col("n"), 6).alias("gini_gain"))
+
+
+@query("q_f_stat", "with e as (select label, cast(embedding[1] as double) as v from embeddings), g as (select label, count(*) as n, avg(v) as m, var_pop(v) * count(*) as s from e group by label), a as (select avg(v) as m, count(*) as n from e) select round((sum(g.n * (g.m - a.m) ** 2) / (count(*) - 1)) / (sum(g.s) / (max(a.n) - count(*))), 6) as f_stat from g, a")
+def q_f_stat(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    g = e.groupBy("label").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("s"))
+    a = e.agg(F.avg("v").alias("am"), F.count("*").alias("an"))
+    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("am"), 2)) / (F.count("*") - 1)
+    return g.crossJoin(a).agg(F.round(between / (F.sum("s") / (F.max("an") - F.count("*"))), 6).alias("f_stat"))
+
+
+# --- ensembles ---------------------------------------------------------------------------
+
+
+@query("q_hive_weighted", f"with {_FACTS} select c.dataset, c.resample, c.case_id, round(sum(f.value ** 4 * c.p1) / sum(f.value ** 4), 6) as p1 from (select * from clf_cases where case_id % 8 <> 0) c join f on f.estimator = c.estimator and f.dataset = c.dataset and f.resample = c.resample group by c.dataset, c.resample, c.case_id")
+def q_hive_weighted(spark, sf):
+    cases = view(spark, sf, "clf_cases").where("case_id % 8 <> 0")
+    acc = metrics.accuracy(view(spark, sf, "clf_cases"))
+    return _rounded(ensemble.weighted_vote(cases, acc).select("dataset", "resample", "case_id", "p1"))
+
+
+@query("q_simple_vote")
+def q_simple_vote(spark, sf):
+    return _rounded(ensemble.simple_vote(ensemble.align(view(spark, sf, "clu_cases"), "head")))
+
+
+@query("q_ivc")
+def q_ivc(spark, sf):
+    return ensemble.iterative_vote(view(spark, sf, "clu_cases"), 10)
+
+
+# --- forecasting -------------------------------------------------------------------------
+
+
+def _train_test(spark, sf):
+    s = A.series(view(spark, sf, "fc_long"), ["series"])
+    return s.select("series", F.slice("x", 1, 24).alias("x"), F.slice("x", 25, 6).alias("y"))
+
+
+def _forecast(spark, sf, make):
+    s = _train_test(spark, sf).withColumn("f", make(F.col("x")))
+    p = s.select("series", F.posexplode("f").alias("h", "v"))
+    return p.select("series", F.col("h").cast("long").alias("h"), F.round("v", 6).alias("v"))
+
+
+_H = "(select unnest(range(0, 6)) as h) g"
+
+
+@query("q_fc_naive", f"select series, h, round(arg_max(v, t), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+def q_fc_naive(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.naive(x, 6))
+
+
+@query("q_fc_mean", f"select series, h, round(avg(v), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+def q_fc_mean(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.mean_forecast(x, 6))
+
+
+@query("q_fc_drift", f"select series, h, round(arg_max(v, t) + (h + 1) * (arg_max(v, t) - arg_min(v, t)) / 23, 6) as v from fc_long, {_H} where t < 24 group by series, h")
+def q_fc_drift(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.drift(x, 6))
+
+
+@query("q_fc_ses", f"select series, h, round(sum(case when t = 0 then v * 7e-1 ** 23 else v * 3e-1 * 7e-1 ** (23 - t) end), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+def q_fc_ses(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.ses(x, 6, 0.3))
+
+
+@query("q_fc_seasonal_naive", f"select f.series, h, round(f.v, 6) as v from {_H} join fc_long f on f.t = 17 + h % 7")
+def q_fc_seasonal_naive(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.seasonal_naive(x, 6, 7))
+
+
+@query("q_ets_grid")
+def q_ets_grid(spark, sf):
+    grid = [(a, b, p) for a in (0.1, 0.5, 0.9) for b in (0.0, 0.1) for p in (0.9, 1.0)]
+    return _forecast(spark, sf, lambda x: forecast.ets_grid(x, 6, grid))
+
+
+@query("q_fc_mape", "with p as (select series, arg_max(v, t) as f from fc_long where t < 24 group by series) select p.series, round(avg(abs(l.v - f) / greatest(abs(l.v), 2.220446049250313e-16)), 6) as mape from p join fc_long l on l.series = p.series and l.t between 24 and 29 group by p.series")
+def q_fc_mape(spark, sf):
+    s = _train_test(spark, sf).select("series", F.explode(F.arrays_zip("y", forecast.naive(F.col("x"), 6).alias("f"))).alias("p"))
+    cases = s.select("series", F.col("p.y").alias("y_true"), F.col("p.f").alias("y_pred")).where("y_true is not null")
+    return _rounded(metrics.regression_metrics(cases, ["series"]).select("series", "mape"))
+
+
+# --- extension ---------------------------------------------------------------------------
+
+
+@query("q_rollup_ext", "select estimator, dataset, round(avg(case when y_true = y_pred then 1e0 else 0e0 end), 6) as accuracy, count(*) as n from clf_cases group by rollup (estimator, dataset)")
+def q_rollup_ext(spark, sf):
+    c = view(spark, sf, "clf_cases")
+    return _rounded(c.rollup("estimator", "dataset").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"), F.count("*").alias("n")))
