@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers and writers of results files and series files."""
