@@ -134,7 +134,7 @@ def to_lines(runs_: DataFrame, cases_: DataFrame) -> DataFrame:
     label = F.coalesce(F.when(F.col("task").isin("classification", "clustering"), whole(F.col("y_true"))).otherwise(F.col("y_true").cast("string")), F.lit("?"))
     pred = F.when(F.col("task").isin("classification", "clustering"), whole(F.col("y_pred"))).otherwise(F.col("y_pred").cast("string"))
     probs = F.when(F.size("probs") > 0, F.concat(F.lit(",,"), F.array_join(F.transform("probs", lambda p: p.cast("string")), ","))).otherwise("")
-    time = F.when(F.col("pred_time").isNotNull(), F.concat(F.lit(",,"), F.col("pred_time").cast("string"))).otherwise("")
+    time = F.when(F.col("pred_time").isNotNull(), F.concat(F.lit(",,"), whole(F.col("pred_time")))).otherwise("")
     desc = F.when(F.col("pred_desc").isNotNull() & F.col("pred_time").isNotNull(), F.concat(F.lit(",,"), F.col("pred_desc"))).otherwise("")
     line = F.concat(label, F.lit(","), pred, F.coalesce(probs, F.lit("")), time, desc)
     body = cases_.select("path", F.struct("case_id", line.alias("line")).alias("c")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["line"]).alias("body"))
