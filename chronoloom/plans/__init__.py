@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Views, registered queries and the experiment runner."""
