@@ -397,7 +397,7 @@ def q_summary_stats(spark, sf):
     return _rounded(_series(spark, sf).select("user_id", A.mean(x).alias("mean"), F.sqrt(A.variance(x)).alias("std"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), A.median(x).alias("median"), A.slope(x).alias("slope")))
 
 
-@query("q_interval_features", "select user_id, t // 10 as interval, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(regr_slope(v, t), 6) as slope from ts_long where t < 30 group by user_id, t // 10")
+@query("q_interval_features", "select user_id, t // 10 as interval, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(regr_slope(v, t), 6) as slope from ts_long where abs(t) < 30 group by user_id, t // 10")
 def q_interval_features(spark, sf):
     x = F.slice("x", F.col("interval").cast("int") * 10 + 1, F.lit(10))
     s = _series(spark, sf).withColumn("interval", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least(F.size("x"), F.lit(30)) - 1) / 10))))
@@ -592,22 +592,22 @@ def _forecast(spark, sf, make):
 _H = "(select unnest(range(0, 6)) as h) g"
 
 
-@query("q_fc_naive", f"select series, h, round(arg_max(v, t), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+@query("q_fc_naive", f"select series, h, round(arg_max(v, t), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
 def q_fc_naive(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.naive(x, 6))
 
 
-@query("q_fc_mean", f"select series, h, round(avg(v), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+@query("q_fc_mean", f"select series, h, round(avg(v), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
 def q_fc_mean(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.mean_forecast(x, 6))
 
 
-@query("q_fc_drift", f"select series, h, round(arg_max(v, t) + (h + 1) * (arg_max(v, t) - arg_min(v, t)) / 23, 6) as v from fc_long, {_H} where t < 24 group by series, h")
+@query("q_fc_drift", f"select series, h, round(arg_max(v, t) + (h + 1) * (arg_max(v, t) - arg_min(v, t)) / 23, 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
 def q_fc_drift(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.drift(x, 6))
 
 
-@query("q_fc_ses", f"select series, h, round(sum(case when t = 0 then v * 7e-1 ** 23 else v * 3e-1 * 7e-1 ** (23 - t) end), 6) as v from fc_long, {_H} where t < 24 group by series, h")
+@query("q_fc_ses", f"select series, h, round(sum(case when t = 0 then v * 7e-1 ** 23 else v * 3e-1 * 7e-1 ** (23 - t) end), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
 def q_fc_ses(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.ses(x, 6, 0.3))
 
@@ -623,7 +623,7 @@ def q_ets_grid(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.ets_grid(x, 6, grid))
 
 
-@query("q_fc_mape", "with p as (select series, arg_max(v, t) as f from fc_long where t < 24 group by series) select p.series, round(avg(abs(l.v - f) / greatest(abs(l.v), 2.220446049250313e-16)), 6) as mape from p join fc_long l on l.series = p.series and l.t between 24 and 29 group by p.series")
+@query("q_fc_mape", "with p as (select series, arg_max(v, t) as f from fc_long where abs(t) < 24 group by series) select p.series, round(avg(abs(l.v - f) / greatest(abs(l.v), 2.220446049250313e-16)), 6) as mape from p join fc_long l on l.series = p.series and l.t between 24 and 29 group by p.series")
 def q_fc_mape(spark, sf):
     s = _train_test(spark, sf).select("series", F.explode(F.arrays_zip("y", forecast.naive(F.col("x"), 6).alias("f"))).alias("p"))
     cases = s.select("series", F.col("p.y").alias("y_true"), F.col("p.f").alias("y_pred")).where("y_true is not null")
