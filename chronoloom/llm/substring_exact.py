@@ -31,7 +31,7 @@ from chronoloom.session import ship
 LENGTH = 100
 GRAM = 24
 #: Bytes of contexts in a shard, and contexts of one anchor that a shard takes.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 MOST_CONTEXTS = 4000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +129,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                         c = np.array([digest(text[x:y]) for x, y in zip(s.tolist(), ends, strict=True)], np.uint64)
                         rows.append((a, c, np.full(len(a), doc, np.int64), s, n))
                         held += len(text)
-                if held > 24 << 20:
+                if held > 12 << 20:
                     yield fold(rows)
                     rows, held = [], 0
         if rows:
