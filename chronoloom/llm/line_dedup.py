@@ -25,9 +25,9 @@ from chronoloom.llm.common import in_blocks, map_texts, materialize, text_or_emp
 from chronoloom.session import ship
 
 #: Counters of the sketch, and counters in one row of it.
-SKETCH, SKETCH_ROW = 1 << 20, 1 << 16
+SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Sets sharing a key that are compared in pairs; more go to longer keys.
-MOST_PAIRED = 400
+MOST_PAIRED = 1000
 LEVELS = 4
 
 
@@ -49,46 +49,82 @@ def words(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.array([c in b" \t\n\x0b\x0c\r" for c in range(256)])
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64, to at least ``n``; kept by the worker."""
+    if not _powers or len(_powers["up"]) < n:
+        size = 1 << max(n - 1, 1 << 20).bit_length()
+        inverse = pow(_BASE, -1, 1 << 64)
+        for name, base in (("up", _BASE), ("down", inverse)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte) of every word of ``data``, whose letters are lowered: no string is made.
+
+    A word's hash is a polynomial in its bytes, read off a running sum over all bytes, then mixed.
+    """
+    s = np.frombuffer(data, np.uint8)
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = _power_table(len(s) + 1)
+    gap = _SPACE[s]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    first, end = edge[0::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up[: len(s)], dtype=np.uint64)])
+        h = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h, first
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Count sketch of all words of all texts: one counter a hash value, a bounded array for the driver.
 
-    Tasks send their counters as packed rows, which are summed in two steps.
+    Counters stop at 2 ** 31. Tasks send theirs as packed rows, summed in two steps.
     """
     d = docs.select(text_or_empty(text).cast("binary").alias("text"))
     ship(docs.sparkSession)
 
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
-        place = _Words(lambda w: xxhash.xxh64_intdigest(w) % SKETCH)
         for batch in batches:
             for block in in_blocks(batch, pc.binary_length(batch.column(0)).to_pylist(), 4 << 20):
-                for t in block.column(0).to_pylist():
-                    w = words(t)
-                    np.add.at(total, np.fromiter(map(place.__getitem__, w), np.int64, len(w)), 1)
+                h, _ = word_hashes(b"\n".join(block.column(0).to_pylist()).lower())
+                np.add.at(total, (h % np.uint64(SKETCH)).astype(np.int64), 1)
         rows = range(SKETCH // SKETCH_ROW)
-        packed = [pa.compress(total[r * SKETCH_ROW : (r + 1) * SKETCH_ROW].tobytes(), "zstd", asbytes=True) for r in rows]
+        packed = [pa.compress(total[r * SKETCH_ROW : (r + 1) * SKETCH_ROW].astype(np.uint32).tobytes(), "zstd", asbytes=True) for r in rows]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([task // 32] * len(packed), pa.int32()), pa.array(rows, pa.int32()), pa.array(packed, pa.binary())], ["wave", "row", "counts"])
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_ROW, np.int64)
         for x in part.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_py(), SKETCH_ROW * 8, "zstd", asbytes=True), np.int64)
-        packed = [pa.compress(total.tobytes(), "zstd", asbytes=True)] if part.num_rows else []
+            total += np.frombuffer(pa.decompress(x.as_py(), SKETCH_ROW * 4, "zstd", asbytes=True), np.uint32)
+        packed = [pa.compress(np.minimum(total, 1 << 31).astype(np.uint32).tobytes(), "zstd", asbytes=True)] if part.num_rows else []
         return pa.table([part.column("wave")[:1], part.column("row")[:1], pa.chunked_array([pa.array(packed, pa.binary())])], ["wave", "row", "counts"])
 
     kind = "wave int, row int, counts binary"
     waves = d.mapInArrow(count, kind).groupBy("wave", "row").applyInArrow(add, kind)
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(SKETCH, np.uint32)
     for r in waves.withColumn("wave", F.lit(0)).groupBy("row").applyInArrow(add, kind).collect():
-        total[r["row"] * SKETCH_ROW : (r["row"] + 1) * SKETCH_ROW] = np.frombuffer(pa.decompress(bytes(r["counts"]), SKETCH_ROW * 8, "zstd", asbytes=True), np.int64)
+        total[r["row"] * SKETCH_ROW : (r["row"] + 1) * SKETCH_ROW] = np.frombuffer(pa.decompress(bytes(r["counts"]), SKETCH_ROW * 4, "zstd", asbytes=True), np.uint32)
     return total
 
 
-def word_key(word: bytes, classes: np.ndarray) -> int:
-    """A positive long that sorts rare words first: rarity class over 55 bits of hash."""
-    h = xxhash.xxh64_intdigest(word)
-    return int(classes[h % SKETCH]) << 55 | h >> 9
+def rarity_classes(counts: np.ndarray) -> np.ndarray:
+    """0 for a counter at 1: such a word is in one line alone. Above, eight classes an octave."""
+    return np.where(counts <= 1, 0, np.minimum(1 + 8 * np.log2(np.maximum(counts, 1)), 255)).astype(np.uint8)
 
 
 def least_overlap(n: int) -> int:
@@ -97,37 +133,49 @@ def least_overlap(n: int) -> int:
 
 
 def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> DataFrame:
-    """One row for each line with a word: set_key, doc, line, n, two signature words, prefix."""
+    """One row for each line with a word: set_key, doc, line, n, sign, prefix.
+
+    A word's key sorts rare words first: rarity class over 55 bits of its hash. ``prefix``
+    holds the first keys, as many as the prefix filter and the longer keys need.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    kind = "set_key binary, doc bigint, line int, n int, s0 bigint, s1 bigint, prefix array<bigint>"
-    names = ["set_key", "doc", "line", "n", "s0", "s1", "prefix"]
+    kind = "set_key binary, doc bigint, line int, n int, sign bigint, prefix array<bigint>"
+    names = ["set_key", "doc", "line", "n", "sign", "prefix"]
     d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).cast("binary").alias("text"))
 
     def run(batches):
         rarity = shared.value
-        look = _Words(lambda w: word_key(w, rarity)).__getitem__
         for batch in batches:
             for block in in_blocks(batch, pc.binary_length(batch.column(1)).to_pylist(), 2 << 20):
-                docs_, lines, sets = [], [], []
-                for doc, t in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                    for i, line in enumerate(t.lower().split(b"\n")):
-                        w = line.split()
-                        if w:
-                            docs_.append(doc)
-                            lines.append(i)
-                            sets.append(sorted(set(map(look, w))))
-                n = np.array([len(s) for s in sets], np.int64)
-                flat = np.fromiter((x for s in sets for x in s), np.int64, int(n.sum()))
-                row = np.repeat(np.arange(len(sets)), n)
-                parity = np.bincount(row * 128 + (flat & 127), minlength=128 * len(sets)).reshape(len(sets), 128) & 1
-                sign = np.packbits(parity.astype(np.uint8), axis=1, bitorder="little").view(np.int64).reshape(len(sets), 2)
-                ends = np.cumsum(n)
-                keys = [xxhash.xxh128_digest(flat[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-                prefix = [s[: len(s) - least_overlap(len(s)) + LEVELS] if len(s) > 3 else [] for s in sets]
+                texts = block.column(1).to_pylist()
+                data = b"\n".join(texts).lower()
+                h, first = word_hashes(data)
+                breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                line = np.searchsorted(breaks, first)  # of the block
+                k = (rarity[(h % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64) << 55) | (h >> np.uint64(9)).astype(np.int64)
+                order = np.argsort(k)
+                order = order[np.argsort(line[order], kind="stable")]
+                k, line = k[order], line[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (line[1:] != line[:-1])
+                k, line = k[new], line[new]
+                held, begin, n = np.unique(line, return_index=True, return_counts=True)
+                row = np.repeat(np.arange(len(held)), n)
+                parity = np.bincount(row * 64 + (k & 63), minlength=64 * len(held)).reshape(len(held), 64) & 1
+                sign = np.packbits(parity.astype(np.uint8), axis=1, bitorder="little").view(np.int64).reshape(-1)
+                raw, ends = k.tobytes(), begin + n
+                digest = xxhash.xxh128_digest
+                keys = [digest(raw[8 * a : 8 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                size = np.where(n > 3, np.minimum(n - (4 * n + 4) // 5 + LEVELS, n), 0)
+                within = np.arange(len(k)) - np.repeat(begin, n)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k[within < np.repeat(size, n)]))
+                lines_before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+                doc = np.searchsorted(lines_before, held, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys, pa.binary()), pa.array(docs_, pa.int64()), pa.array(lines, pa.int32()), pa.array(n, pa.int32()),
-                        pa.array(sign[:, 0], pa.int64()), pa.array(sign[:, 1], pa.int64()), pa.array(prefix, pa.list_(pa.int64())),
+                        pa.array(keys, pa.binary()), block.column(0).take(pa.array(doc)), pa.array((held - lines_before[doc]).astype(np.int32)),
+                        pa.array(n.astype(np.int32)), pa.array(sign), prefix,
                     ],
                     names,
                 )
@@ -136,56 +184,115 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
     return d.mapInArrow(run, kind)
 
 
+_PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
+_PAIR_KIND = "key bigint, a_doc bigint, a_line int, i int, b_doc bigint, b_line int"
+
+
+def _pairs_in_groups(t: pa.Table, level: int) -> list[np.ndarray]:
+    """Pairs of rows of one key that pass the length, positional and signature filters; rows are in order of (key, doc, line)."""
+    key, doc, line, n, i, sign = (t.column(c).to_numpy() for c in ("key", "doc", "line", "n", "i", "sign"))
+    found = []
+    live = np.arange(len(key))
+    for k in range(1, len(key)):
+        live = live[live + k < len(key)]
+        live = live[key[live] == key[live + k]]
+        if not len(live):
+            break
+        a, b = live, live + k
+        total = n[a] + n[b]
+        ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+        ok &= 9 * (level + np.minimum(n[a] - i[a], n[b] - i[b]) - 1) >= 4 * total
+        ok &= 9 * np.bitwise_count((sign[a] ^ sign[b]).view(np.uint64)).astype(np.int64) <= total
+        found.append((a[ok], b[ok]))
+    a, b = (np.concatenate(x) if found else np.zeros(0, int) for x in (list(zip(*found, strict=True)) if found else ([], [])))
+    return [doc[a], line[a], doc[b], line[b]]
+
+
+def _join_groups(rows: DataFrame, level: int, most_paired: int) -> DataFrame:
+    """Pairs (key null) within the groups of equal ``key``; a group of over ``most_paired`` rows gives its rows (b null) instead.
+
+    Groups stream by in order of their key: never more than a batch and one small group is held.
+    """
+    dealt = rows.select("key", "doc", "line", "n", "i", "sign").repartition("key").sortWithinPartitions("key", "doc", "line")
+    names = ["key", "a_doc", "a_line", "i", "b_doc", "b_line"]
+
+    def members(t):
+        none = pa.nulls(t.num_rows)
+        columns = [t.column(c).combine_chunks() for c in ("key", "doc", "line", "i")]
+        return pa.RecordBatch.from_arrays([*columns, none.cast(pa.int64()), none.cast(pa.int32())], names)
+
+    def pairs(t):
+        a_doc, a_line, b_doc, b_line = (pa.array(x) for x in _pairs_in_groups(t, level))
+        none = pa.nulls(len(a_doc))
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), a_doc, a_line, none.cast(pa.int32()), b_doc, b_line], names)
+
+    def run(batches):
+        held, crowd = None, None  # rows of the last key so far; a key known to be shared by too many
+
+        def settle(t):
+            _, count = np.unique(t.column("key").to_numpy(), return_counts=True)
+            yield members(t.filter(pa.array(np.repeat(count > most_paired, count))))
+            yield pairs(t.filter(pa.array(np.repeat((count > 1) & (count <= most_paired), count))))
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if crowd is not None:
+                same = pc.equal(t.column("key"), crowd)
+                yield members(t.filter(same))
+                t = t.filter(pc.invert(same))
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            held = None
+            if not t.num_rows:
+                continue
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from settle(t.slice(0, cut))
+            held = t.slice(cut)
+            if held.num_rows > most_paired:
+                yield members(held)
+                crowd, held = int(key[-1]), None
+        if held is not None:
+            yield from settle(held)
+
+    return dealt.mapInArrow(run, _PAIR_KIND)
+
+
 def _similar_enough(level: int) -> Column:
-    """Length, positional and signature filters for rows a and b that share ``level`` words, the last at places a.i and b.i."""
+    """The same filters for joined rows a and b."""
     total = F.col("a.n") + F.col("b.n")
     return (
         (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n"))
         & (9 * (level + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) - 1) >= 4 * total)
-        & (9 * _difference() <= total)
+        & (9 * F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))) <= total)
+        & (F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line"))
     )
 
 
-def _difference() -> Column:
-    """A lower bound of the symmetric difference's size."""
-    bits = [F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in ("s0", "s1")]
-    return bits[0] + bits[1]
-
-
-def _earlier() -> Column:
-    return F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line")
-
-
-_PAIR = ["a.doc as a_doc", "a.line as a_line", "b.doc as b_doc", "b.line as b_line"]
+_NAMED = ["a.doc as a_doc", "a.line as a_line", "b.doc as b_doc", "b.line as b_line"]
 
 
 def candidates(sets: DataFrame, most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
     """Pairs (a_doc, a_line, b_doc, b_line), a earlier, that pass all filters; every similar pair is among them,
     but for pairs whose later line another pair shows to be similar to an earlier one.
     """
-    rows = sets.where("n > 3").select(
-        "doc", "line", "n", "s0", "s1", "prefix", F.expr("posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)")
-    )
+    places = "posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"
+    rows = sets.where("n > 3").select("doc", "line", "n", "sign", F.expr(places))
+    rows = rows.where("shiftright(key, 55) <> 0")  # class 0: no other line has the word
     found = []
     for level in range(1, levels + 1):
-        shared = materialize(rows.groupBy("key").agg(F.count("*").alias("sharing")).where("sharing > 1"), "keys")
-        few = rows.join(shared.where(F.col("sharing") <= most_paired).select("key"), "key").drop("prefix")
-        few = materialize(few, "few")
-        pairs = few.alias("a").join(few.alias("b"), "key").where(_earlier() & _similar_enough(level)).selectExpr(*_PAIR).distinct()
-        found.append(materialize(pairs, "pairs"))
-        many = shared.where(F.col("sharing") > most_paired).select("key")
+        got = materialize(_join_groups(rows, level, most_paired), "pairs")
+        found.append(got.where("key is null").select(*_PAIR))
+        many = got.where("key is not null").select("key", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "i")
         if not many.limit(1).count():
             break
-        rows = materialize(rows.join(many, "key"), "many")
-        if level < levels:
-            rows = rows.select(
-                "doc", "line", "n", "s0", "s1", "prefix",
-                F.expr(f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"), F.col("key").alias("old"),
-            ).where("j < size(prefix)").select(
-                "doc", "line", "n", "s0", "s1", "prefix", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key")
-            )
-    else:
-        found += _crowds(rows.drop("prefix"), levels)
+        many = materialize(many, "many").join(sets.select("doc", "line", "n", "sign", "prefix"), ["doc", "line"])
+        if level == levels:
+            found += _crowds(materialize(many.drop("prefix"), "crowds"), levels)
+        else:
+            later = f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"
+            rows = many.select("doc", "line", "n", "sign", "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
+            rows = rows.select("doc", "line", "n", "sign", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -194,14 +301,14 @@ def candidates(sets: DataFrame, most_paired: int = MOST_PAIRED, levels: int = LE
 
 def _crowds(rows: DataFrame, level: int) -> list[DataFrame]:
     """Pairs within very large groups: against sixteen early members; then, for lines no such pair passes, against all."""
-    place = F.struct("doc", "line", "n", "s0", "s1", "i")
+    place = F.struct("doc", "line", "n", "sign", "i")
     first = rows.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
     first = materialize(first, "first")
-    stars = first.alias("a").join(rows.alias("b"), "key").where(_earlier() & _similar_enough(level)).selectExpr(*_PAIR).distinct()
+    stars = first.alias("a").join(rows.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
     stars = materialize(stars, "stars")
     met = stars.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
     rest = rows.join(met, ["doc", "line"], "left_anti")
-    pairs = rows.alias("a").join(rest.alias("b"), "key").where(_earlier() & _similar_enough(level)).selectExpr(*_PAIR).distinct()
+    pairs = rows.alias("a").join(rest.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
     return [stars, materialize(pairs, "rest")]
 
 
@@ -225,9 +332,8 @@ def _line_words(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Data
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, lines): of every document, the numbers of lines that stay, among those with a word."""
     counts = word_counts(docs, text)
-    classes = np.minimum(8 * np.log2(counts + 1), 255).astype(np.int16)
-    rows = line_sets(docs, classes, key, text)
-    first = F.min(F.struct("doc", "line", "n", "s0", "s1", "prefix")).alias("f")
+    rows = line_sets(docs, rarity_classes(counts), key, text)
+    first = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("f")
     sets = materialize(rows.groupBy("set_key").agg(first).select("f.*"), "sets")
     pairs = materialize(candidates(sets.where("doc is not null")), "candidates")
     ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))
