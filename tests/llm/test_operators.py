@@ -128,6 +128,38 @@ def test_passages(spark, plain, awkward, none):
     assert passages.near_passages(none).count() == 0
 
 
+def edited(rnd, text, at):
+    w = text.split()
+    for i in at:
+        w[i] = prose(rnd, 1) + "x" + str(rnd.random())
+    return " ".join(w)
+
+
+def unmatched(docs, rows, similar=0.8):
+    """(passages with a similar one in an earlier text, those of them that no row covers), by brute force."""
+    sets = {k: [{tuple(w[i + j : i + j + 5]) for j in range(46)} for i in range(len(w) - 49)] for k, w in docs.items()}
+    want = {
+        (b, t) for b, y in sets.items() for t in range(len(y))
+        if any(len(p & y[t]) >= similar * len(p | y[t]) for a, x in sets.items() if a < b for p in x)
+    }
+    return want, {(b, t) for b, t in want if not any(r.doc_id == b and r.start <= t and t + 50 <= r.end for r in rows)}
+
+
+def passages_of(spark, docs):
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id bigint, text string").coalesce(1)
+    return passages.near_passages(df).collect(), {k: t.encode().lower().split() for k, t in docs.items()}
+
+
+def test_passage_of_a_later_partner(spark):
+    """Variants come before and after their original: each is near the original alone."""
+    rnd = random.Random(3)
+    original = prose(rnd, 50)
+    docs = {1: edited(rnd, original, [10]), 5: original, 6: edited(rnd, original, [25]), 7: edited(rnd, original, [40]), 8: edited(rnd, original, [32])}
+    rows, found = passages_of(spark, docs)
+    want, lost = unmatched(found, rows)
+    assert {b for b, _ in want} == {5, 6, 7, 8} and not lost and all(r.jaccard >= 0.8 for r in rows)
+
+
 def simhash_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
