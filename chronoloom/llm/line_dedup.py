@@ -13,6 +13,8 @@ many prefixes is replaced by pairs, triples and quadruples of a set's first shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -272,9 +274,9 @@ def _similar_enough(level: int) -> Column:
 _NAMED = ["a.doc as a_doc", "a.line as a_line", "b.doc as b_doc", "b.line as b_line"]
 
 
-def candidates(sets: DataFrame, most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
+def candidates(sets: DataFrame, verify: Callable[[DataFrame], DataFrame], most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
     """Pairs (a_doc, a_line, b_doc, b_line), a earlier, that pass all filters; every similar pair is among them,
-    but for pairs whose later line another pair shows to be similar to an earlier one.
+    but for pairs whose later line another pair, verified by ``verify``, shows to be similar to an earlier one.
     """
     places = "posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"
     rows = sets.where("n > 3").select("doc", "line", "n", "sign", F.expr(places))
@@ -288,7 +290,7 @@ def candidates(sets: DataFrame, most_paired: int = MOST_PAIRED, levels: int = LE
             break
         many = materialize(many, "many").join(sets.select("doc", "line", "n", "sign", "prefix"), ["doc", "line"])
         if level == levels:
-            found += _crowds(materialize(many.drop("prefix"), "crowds"), levels)
+            found += _crowds(materialize(many.drop("prefix"), "crowds"), levels, verify)
         else:
             later = f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"
             rows = many.select("doc", "line", "n", "sign", "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
@@ -299,13 +301,13 @@ def candidates(sets: DataFrame, most_paired: int = MOST_PAIRED, levels: int = LE
     return out.distinct()
 
 
-def _crowds(rows: DataFrame, level: int) -> list[DataFrame]:
-    """Pairs within very large groups: against sixteen early members; then, for lines no such pair passes, against all."""
+def _crowds(rows: DataFrame, level: int, verify: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """Pairs within very large groups: against sixteen early members; then, for lines that no verified one of these settles, against all."""
     place = F.struct("doc", "line", "n", "sign", "i")
     first = rows.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
     first = materialize(first, "first")
     stars = first.alias("a").join(rows.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
-    stars = materialize(stars, "stars")
+    stars = materialize(verify(materialize(stars, "stars")), "met")
     met = stars.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
     rest = rows.join(met, ["doc", "line"], "left_anti")
     pairs = rows.alias("a").join(rest.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
@@ -329,13 +331,8 @@ def _line_words(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Data
     return d.select("doc", "text", "lines").mapInArrow(run, "doc bigint, line int, words array<string>")
 
 
-def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, lines): of every document, the numbers of lines that stay, among those with a word."""
-    counts = word_counts(docs, text)
-    rows = line_sets(docs, rarity_classes(counts), key, text)
-    first = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("f")
-    sets = materialize(rows.groupBy("set_key").agg(first).select("f.*"), "sets")
-    pairs = materialize(candidates(sets.where("doc is not null")), "candidates")
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Those of the pairs whose lines are similar, by the words themselves."""
     ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))
     wanted = ends.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
     found = materialize(_line_words(docs, wanted, key, text), "words")
@@ -343,7 +340,17 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     b = found.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
     overlap = F.size(F.array_intersect("a_words", "b_words"))
-    verified = both.where(9 * overlap >= 4 * (F.size("a_words") + F.size("b_words")))
+    return both.where(9 * overlap >= 4 * (F.size("a_words") + F.size("b_words"))).select(*_PAIR)
+
+
+def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, lines): of every document, the numbers of lines that stay, among those with a word."""
+    counts = word_counts(docs, text)
+    rows = line_sets(docs, rarity_classes(counts), key, text)
+    first = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("f")
+    sets = materialize(rows.groupBy("set_key").agg(first).select("f.*"), "sets")
+    pairs = materialize(candidates(sets.where("doc is not null"), lambda p: _verified(p, docs, key, text)), "candidates")
+    verified = _verified(pairs, docs, key, text)
     gone = materialize(verified.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct(), "gone")
     stay = sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     return materialize(stay.groupBy("doc").agg(F.collect_list("line").alias("lines")), "stay")

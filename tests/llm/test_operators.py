@@ -312,6 +312,16 @@ def test_lines(spark, plain, awkward, none, most, monkeypatch):
         assert line_dedup.dedup_lines(awkward).count() == awkward.count() and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_crowd_of_strangers(spark, monkeypatch):
+    """Lines of 16 common words and 4 of 120: two are similar if they share 2 of these; the early members of a crowd share mostly 1."""
+    monkeypatch.setattr(line_dedup.candidates, "__defaults__", (20, 1))
+    rnd = random.Random(8)
+    core, pool = [f"core{i}" for i in range(16)], [f"pool{i}" for i in range(120)]
+    rows = [(i, " ".join(core + rnd.sample(pool, 4))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.new_text for r in line_dedup.dedup_lines(df).collect()} == kept_text(rows)
+
+
 def test_word_hashes():
     h, first = line_dedup.word_hashes(b" ab\tcd ab\n\x0bab cdx")
     assert first.tolist() == [1, 4, 7, 11, 14] and h[0] == h[2] == h[3] and len(set(h.tolist())) == 3
