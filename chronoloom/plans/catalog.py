@@ -439,9 +439,10 @@ def q_rocket_ppv_max(spark, sf):
 # --- distances ---------------------------------------------------------------------------
 
 
-def _neighbours(spark, sf, points: int = 30):
-    """Each series beside that of the next user id: an equi-join, one pair a user."""
-    s = _series(spark, sf).withColumn("x", F.slice("x", 1, points))
+def _neighbours(spark, sf, points: int | None = None):
+    """Each series, or its first ``points`` where the SQL beside the query says so, beside that of the next user id: an equi-join, one pair a user."""
+    s = _series(spark, sf)
+    s = s if points is None else s.withColumn("x", F.slice("x", 1, points))
     other = s.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("y"))
     return s.join(other, "user_id")
 
@@ -451,18 +452,18 @@ _BESIDE = "with l as (select user_id, list(v order by t) as x from ts_long group
 
 @query("q_euclid", f"{_BESIDE} select a.user_id, round(list_distance(a.x[1:30], b.x[1:30]), 6) as d from l a join l b on b.user_id = a.user_id + 1")
 def q_euclid(spark, sf):
-    return _rounded(_neighbours(spark, sf).select("user_id", D.euclidean(F.col("x"), F.col("y")).alias("d")))
+    return _rounded(_neighbours(spark, sf, 30).select("user_id", D.euclidean(F.col("x"), F.col("y")).alias("d")))
 
 
 @query("q_minkowski", f"{_BESIDE} select a.user_id, round(list_sum(list_transform(list_zip(a.x[1:30], b.x[1:30]), lambda z: abs(z[1] - z[2]) ** 3)) ** (1e0 / 3), 6) as d from l a join l b on b.user_id = a.user_id + 1")
 def q_minkowski(spark, sf):
-    return _rounded(_neighbours(spark, sf).select("user_id", D.minkowski(F.col("x"), F.col("y"), 3).alias("d")))
+    return _rounded(_neighbours(spark, sf, 30).select("user_id", D.minkowski(F.col("x"), F.col("y"), 3).alias("d")))
 
 
-def _elastic(name: str, points: int = 12, **parameters):
+def _elastic(name: str, **parameters):
     @query(f"q_{name}")
     def q(spark, sf):
-        return _rounded(_neighbours(spark, sf, points).select("user_id", D.distance(name, F.col("x"), F.col("y"), **parameters).alias("d")))
+        return _rounded(_neighbours(spark, sf).select("user_id", D.distance(name, F.col("x"), F.col("y"), **parameters).alias("d")))
 
     return q
 

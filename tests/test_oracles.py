@@ -40,3 +40,23 @@ def test_query(spark, duck, name):
     want = sorted((tuple(normal(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
     assert sorted(names) == columns
     assert got == want
+
+
+def whole_msm(x, y, c=1.0):
+    d = {}
+    split = lambda v, a, b: c if a <= v <= b or a >= v >= b else c + min(abs(v - a), abs(v - b))
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            ways = [abs(a - b) + (d[i - 1, j - 1] if i and j else 0 if i == j else math.inf)]
+            ways += [d[i - 1, j] + split(a, x[i - 1], b)] if i else []
+            ways += [d[i, j - 1] + split(b, a, y[j - 1])] if j else []
+            d[i, j] = min(ways)
+    return d[len(x) - 1, len(y) - 1]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_elastic_on_whole_series(spark, duck):
+    series = {r.user_id: r.x for r in catalog._series(spark, SF).collect()}
+    got = {r.user_id: r.d for r in catalog.QUERIES["q_msm"](spark, SF).collect()}
+    assert max(map(len, series.values())) > 12 and set(got) == {u for u in series if u + 1 in series}
+    assert all(d == pytest.approx(whole_msm(series[u], series[u + 1]), abs=2e-6) for u, d in got.items())
