@@ -77,23 +77,32 @@ def class_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
+def _of_two(value, low, high):
+    """``value``, or an error if the labels beside 1, from ``low`` to ``high``, are several."""
+    return F.when(low < high, F.raise_error(F.lit("more than two labels: p1 alone does not tell the others apart"))).otherwise(value)
+
+
 def log_loss(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Mean negative log probability of the true label of two, clipped by the machine epsilon; ``p1`` is that of label 1."""
+    """Mean negative log probability of the true label of two, clipped by the machine epsilon; ``p1`` is that of label 1. Three labels in a group are an error."""
     p = F.when(F.col("y_true") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return cases.groupBy(*keys).agg((-F.avg(F.ln(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))))).alias("log_loss"))
+    other = F.when(F.col("y_true") != 1, F.col("y_true"))
+    loss = -F.avg(F.ln(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))))
+    return cases.groupBy(*keys).agg(_of_two(loss, F.min(other), F.max(other)).alias("log_loss"))
 
 
 def auroc(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Area under the ROC curve of ``p1`` for label 1, ties counted half; null with one label only.
+    """Area under the ROC curve of ``p1`` for label 1, ties counted half; null with one label only; three labels in a group are an error.
 
     Cases fold to one row a distinct score before the window.
     """
     one = F.count_if(F.col("y_true") == 1).alias("pos")
     zero = F.count_if(F.col("y_true") != 1).alias("neg")
-    scores = cases.groupBy(*keys, "p1").agg(one, zero)
+    other = F.when(F.col("y_true") != 1, F.col("y_true"))
+    scores = cases.groupBy(*keys, "p1").agg(one, zero, F.min(other).alias("low"), F.max(other).alias("high"))
     below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("p1").rowsBetween(Window.unboundedPreceding, -1))
     u = scores.withColumn("u", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2.0))
-    return u.groupBy(*keys).agg((F.sum("u") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
+    area = F.sum("u") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+    return u.groupBy(*keys).agg(_of_two(area, F.min("low"), F.max("high")).alias("auroc"))
 
 
 def regression_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from chronoloom.operators import metrics
 from chronoloom.plans import catalog
 from chronoloom.plans.views import TABLES
 
@@ -60,3 +61,12 @@ def test_elastic_on_whole_series(spark, duck):
     got = {r.user_id: r.d for r in catalog.QUERIES["q_msm"](spark, SF).collect()}
     assert max(map(len, series.values())) > 12 and set(got) == {u for u in series if u + 1 in series}
     assert all(d == pytest.approx(whole_msm(series[u], series[u + 1]), abs=2e-6) for u, d in got.items())
+
+
+@pytest.mark.parametrize("metric", [metrics.log_loss, metrics.auroc])
+def test_three_labels_are_refused(spark, metric):
+    rows = [("a", y, p) for y, p in ((0, 0.2), (1, 0.7), (2, 0.4))] + [("b", 0, 0.2), ("b", 1, 0.7)]
+    cases = spark.createDataFrame(rows, "g string, y_true int, p1 double")
+    assert metric(cases.where("g = 'b'"), ["g"]).count() == 1
+    with pytest.raises(Exception, match="more than two labels"):
+        metric(cases, ["g"]).collect()
