@@ -157,7 +157,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least doc_id of each component."""
+    """Pipeline stage: the document with the least doc_id of each component.
+
+    It follows op4's rule: three-word shingles and at most 2 of 64 bits; nearness of 0.8 is not looked for.
+    """
     named = near_duplicates(docs.select("doc_id", "text"))
     kept = named.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
