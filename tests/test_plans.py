@@ -1,6 +1,10 @@
 """Experiment runner, streaming metrics, driver entry and independence from the llm folder."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -18,6 +22,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_llm(tmp_path):
+    """With the subpackage gone, with and without the pipeline's file, the other queries are all there."""
+    for f in ["__spark_entry__.py", *(str(p.relative_to(ROOT)) for p in (ROOT / "chronoloom").rglob("*.py") if "llm" not in p.parts)]:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy(ROOT / f, tmp_path / f)
+    code = "import __spark_entry__ as e; from chronoloom.plans import catalog as c; assert set(e.queries()) == set(c.QUERIES) and set(e.oracle_sql()) == set(c.ORACLES)"
+    for pipeline in ("", "from chronoloom.llm import packing"):
+        (tmp_path / "corpus_pipeline.py").write_text(pipeline)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": os.pathsep.join(x for x in sys.path if x and Path(x) != ROOT)})
+
+
 def test_nothing_else_imports_llm():
     for f in (ROOT / "chronoloom").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
