@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from chronoloom.session import ship
 
+#: Frequent function words of the supported languages (fixed values).
+FUNCTION_WORDS = (
+    "the and of to in is that it for with as by this are be on or at from not was "
+    "le la les de des du et un une en que qui pour par dans sur au il elle est "
+    "der die das und ein eine zu mit den von dem sich auf ist nicht an im es für auch als "
+    "el los las y una por con del se para no lo su al como más o"
+).split()
+
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -21,6 +29,8 @@ def work_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     set_dir = spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -32,10 +42,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage; ``free`` deletes it."""
     path = new_path(df.sparkSession, name)
     write_freeing(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once nothing that is still to run reads it."""
+    for df in written:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def write_freeing(df: DataFrame, path: str) -> None:

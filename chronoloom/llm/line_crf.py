@@ -16,19 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import map_texts
-
-#: Frequent function words (fixed values).
-FUNCTION_WORDS = frozenset(
-    (
-        "the and of to in is that it for with as by this are be on or at from not was "
-        "le la les de des du et un une en que qui pour par dans sur au il elle est "
-        "der die das und ein eine zu mit den von dem sich auf ist nicht an im es für auch als "
-        "el los las y una por con del se para no lo su al como más o"
-    )
-    .encode()
-    .split()
-)
+from chronoloom.llm.common import FUNCTION_WORDS, map_texts
+
+#: The function words as bytes.
+_FUNCTION = frozenset(w.encode() for w in FUNCTION_WORDS)
 #: measure -> upper edges of its bins.
 BINS = {
     "words": (1.5, 2.5, 4.5, 8.5, 16.5, 40.5, 100.5),
@@ -69,7 +60,7 @@ def line_measures(text: bytes) -> tuple[list[tuple], list[int]]:
                 (len(line) - len(line.translate(None, b"#*$%&|<>"))) / n,
                 (len(line) - len(line.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size,
                 (len(line) - len(line.translate(None, b"0123456789"))) / size,
-                sum(map(FUNCTION_WORDS.__contains__, w)) / n,
+                sum(map(_FUNCTION.__contains__, w)) / n,
                 len(set(w)) / n,
                 sum(map(eq, w, w[1:])) / n,
                 line.count(b"!") / n,

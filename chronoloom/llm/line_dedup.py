@@ -7,14 +7,14 @@ sketch of fixed size over all texts; two similar sets then share a word among th
 few (prefix filter), their sizes lie within 4/5 of each other (length filter), and the
 places of the shared word leave room for the overlap (positional filter). A parity
 signature of each set bounds the size of the symmetric difference from below and prunes
-most of the rest; what passes is verified on the words themselves. A word shared by very
-many prefixes is replaced by pairs, triples and quadruples of a set's first shared words.
+most of the rest. Of the earlier lines that pass, the likeliest is verified on the words
+themselves; the others are looked at only where it fails, so a line gives one pair and not
+all. A word shared by very many prefixes is replaced by pairs, triples and quadruples of a
+set's first shared words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import in_blocks, map_texts, materialize, text_or_empty
+from chronoloom.llm.common import free, in_blocks, map_texts, materialize, text_or_empty
 from chronoloom.session import ship
 
 #: Counters of the sketch, and counters in one row of it.
@@ -59,7 +59,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64, to at least ``n``; kept by the worker."""
     if not _powers or len(_powers["up"]) < n:
-        size = 1 << max(n - 1, 1 << 20).bit_length()
+        size = 1 << max(n - 1, 1 << 19).bit_length()
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, np.uint64)
@@ -101,7 +101,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for block in in_blocks(batch, pc.binary_length(batch.column(0)).to_pylist(), 4 << 20):
+            for block in in_blocks(batch, pc.binary_length(batch.column(0)).to_pylist(), 1 << 20):
                 h, _ = word_hashes(b"\n".join(block.column(0).to_pylist()).lower())
                 np.add.at(total, (h % np.uint64(SKETCH)).astype(np.int64), 1)
         rows = range(SKETCH // SKETCH_ROW)
@@ -148,7 +148,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
     def run(batches):
         rarity = shared.value
         for batch in batches:
-            for block in in_blocks(batch, pc.binary_length(batch.column(1)).to_pylist(), 2 << 20):
+            for block in in_blocks(batch, pc.binary_length(batch.column(1)).to_pylist(), 1 << 20):
                 texts = block.column(1).to_pylist()
                 data = b"\n".join(texts).lower()
                 h, first = word_hashes(data)
@@ -186,82 +186,67 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
     return d.mapInArrow(run, kind)
 
 
-_PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
-_PAIR_KIND = "key bigint, a_doc bigint, a_line int, i int, b_doc bigint, b_line int"
+#: A row of a key's group: where the line is, its size, the key's place in it and its signature.
+_ROW = ["key", "doc", "line", "n", "i", "sign"]
+_LIKELY = "doc bigint, line int, others boolean, far int, a_doc bigint, a_line int"
 
 
-def _pairs_in_groups(t: pa.Table, level: int) -> list[np.ndarray]:
-    """Pairs of rows of one key that pass the length, positional and signature filters; rows are in order of (key, doc, line)."""
-    key, doc, line, n, i, sign = (t.column(c).to_numpy() for c in ("key", "doc", "line", "n", "i", "sign"))
-    found = []
+def _passing(n, i, sign, a, b, level) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the rows a and b pass the length, positional and signature filters, differing bits of their signatures)."""
+    total = n[a] + n[b]
+    far = np.bitwise_count((sign[a] ^ sign[b]).view(np.uint64)).astype(np.int64)
+    ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+    ok &= 9 * (level + np.minimum(n[a] - i[a], n[b] - i[b]) - 1) >= 4 * total
+    return ok & (9 * far <= total), far
+
+
+def _nearest(t: pa.Table, level: int) -> pa.RecordBatch:
+    """For every row with an earlier one of its key that passes: the nearest by signature, and whether others pass; rows are in order of (key, doc, line)."""
+    key, doc, line, n, i, sign = (t.column(c).to_numpy() for c in _ROW)
+    best, found = np.full(len(key), np.iinfo(np.int64).max), np.zeros(len(key), np.int32)
     live = np.arange(len(key))
     for k in range(1, len(key)):
         live = live[live + k < len(key)]
         live = live[key[live] == key[live + k]]
         if not len(live):
             break
-        a, b = live, live + k
-        total = n[a] + n[b]
-        ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
-        ok &= 9 * (level + np.minimum(n[a] - i[a], n[b] - i[b]) - 1) >= 4 * total
-        ok &= 9 * np.bitwise_count((sign[a] ^ sign[b]).view(np.uint64)).astype(np.int64) <= total
-        found.append((a[ok], b[ok]))
-    a, b = (np.concatenate(x) if found else np.zeros(0, int) for x in (list(zip(*found, strict=True)) if found else ([], [])))
-    return [doc[a], line[a], doc[b], line[b]]
-
-
-def _join_groups(rows: DataFrame, level: int, most_paired: int) -> DataFrame:
-    """Pairs (key null) within the groups of equal ``key``; a group of over ``most_paired`` rows gives its rows (b null) instead.
-
-    Groups stream by in order of their key: never more than a batch and one small group is held.
-    """
-    dealt = rows.select("key", "doc", "line", "n", "i", "sign").repartition("key").sortWithinPartitions("key", "doc", "line")
-    names = ["key", "a_doc", "a_line", "i", "b_doc", "b_line"]
+        ok, far = _passing(n, i, sign, live, live + k, level)
+        ok &= (doc[live] != doc[live + k]) | (line[live] != line[live + k])
+        a, b = live[ok], live[ok] + k
+        found[b] += 1
+        best[b] = np.minimum(best[b], far[ok] << 32 | a)
+    hit = np.flatnonzero(found)
+    a = best[hit] & 0xFFFFFFFF
+    columns = [doc[hit], line[hit], found[hit] > 1, (best[hit] >> 32).astype(np.int32), doc[a], line[a]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "line", "others", "far", "a_doc", "a_line"])
 
-    def members(t):
-        none = pa.nulls(t.num_rows)
-        columns = [t.column(c).combine_chunks() for c in ("key", "doc", "line", "i")]
-        return pa.RecordBatch.from_arrays([*columns, none.cast(pa.int64()), none.cast(pa.int32())], names)
 
-    def pairs(t):
-        a_doc, a_line, b_doc, b_line = (pa.array(x) for x in _pairs_in_groups(t, level))
-        none = pa.nulls(len(a_doc))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), a_doc, a_line, none.cast(pa.int32()), b_doc, b_line], names)
+def _by_group(dealt: DataFrame, by: list[str], settle, kind: str) -> DataFrame:
+    """``settle(table)`` of whole groups of equal ``by``, in whose order the rows come; a batch and one group are held at most."""
 
     def run(batches):
-        held, crowd = None, None  # rows of the last key so far; a key known to be shared by too many
-
-        def settle(t):
-            _, count = np.unique(t.column("key").to_numpy(), return_counts=True)
-            yield members(t.filter(pa.array(np.repeat(count > most_paired, count))))
-            yield pairs(t.filter(pa.array(np.repeat((count > 1) & (count <= most_paired), count))))
-
+        held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            if crowd is not None:
-                same = pc.equal(t.column("key"), crowd)
-                yield members(t.filter(same))
-                t = t.filter(pc.invert(same))
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            held = None
             if not t.num_rows:
                 continue
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            last = np.zeros(t.num_rows, bool)
+            for c in by:
+                x = t.column(c).to_numpy()
+                last |= x != x[-1]
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
             if cut:
-                yield from settle(t.slice(0, cut))
+                yield settle(t.slice(0, cut))
             held = t.slice(cut)
-            if held.num_rows > most_paired:
-                yield members(held)
-                crowd, held = int(key[-1]), None
         if held is not None:
-            yield from settle(held)
+            yield settle(held)
 
-    return dealt.mapInArrow(run, _PAIR_KIND)
+    return dealt.mapInArrow(run, kind)
 
 
 def _similar_enough(level: int) -> Column:
-    """The same filters for joined rows a and b."""
+    """The same filters for joined rows a and b, a the earlier."""
     total = F.col("a.n") + F.col("b.n")
     return (
         (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n"))
@@ -271,76 +256,164 @@ def _similar_enough(level: int) -> Column:
     )
 
 
-_NAMED = ["a.doc as a_doc", "a.line as a_line", "b.doc as b_doc", "b.line as b_line"]
-
+def _keyed(sets: DataFrame, most_paired: int, levels: int, made: list) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """([(level, rows of keys that at most ``most_paired`` rows share)], rows whose key is shared by more at the last level).
 
-def candidates(sets: DataFrame, verify: Callable[[DataFrame], DataFrame], most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
-    """Pairs (a_doc, a_line, b_doc, b_line), a earlier, that pass all filters; every similar pair is among them,
-    but for pairs whose later line another pair, verified by ``verify``, shows to be similar to an earlier one.
+    Rows of a key that more share go to longer keys: the key with a later word of the prefix.
+    A word in so many sets has a counter of at least as much, so level 1 counts such words alone.
     """
-    places = "posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"
-    rows = sets.where("n > 3").select("doc", "line", "n", "sign", F.expr(places))
+    rows = sets.where("n > 3").select("doc", "line", "n", "sign", "prefix", F.expr("posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"))
     rows = rows.where("shiftright(key, 55) <> 0")  # class 0: no other line has the word
-    found = []
+    frequent = rows.where(F.shiftright("key", 55) >= int(rarity_classes(np.array([most_paired + 1]))[0]))
+    out = []
     for level in range(1, levels + 1):
-        got = materialize(_join_groups(rows, level, most_paired), "pairs")
-        found.append(got.where("key is null").select(*_PAIR))
-        many = got.where("key is not null").select("key", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "i")
-        if not many.limit(1).count():
-            break
-        many = materialize(many, "many").join(sets.select("doc", "line", "n", "sign", "prefix"), ["doc", "line"])
+        shared = frequent.groupBy("key").agg(F.count("*").alias("shared")).where(F.col("shared") > most_paired).select("key")
+        hot = materialize(shared, "hot-keys")
+        made.append(hot)
+        if hot.isEmpty():
+            return [*out, (level, rows)], None
+        out.append((level, rows.join(hot, "key", "left_anti")))
+        many = rows.join(hot, "key")
         if level == levels:
-            found += _crowds(materialize(many.drop("prefix"), "crowds"), levels, verify)
-        else:
-            later = f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"
-            rows = many.select("doc", "line", "n", "sign", "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
-            rows = rows.select("doc", "line", "n", "sign", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key"))
-    out = found[0]
+            crowd = materialize(many.select(*_ROW), "crowds")
+            made.append(crowd)
+            return out, crowd
+        later = f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"
+        rows = many.select("doc", "line", "n", "sign", "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
+        rows = rows.select("doc", "line", "n", "sign", "prefix", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key"))
+        frequent = rows = materialize(rows, "longer-keys")
+        made.append(rows)
+
+
+def _likely(keyed, crowd, levels: int) -> DataFrame:
+    """(doc, line, others, a_doc, a_line): for every line with an earlier one that passes the filters, the likeliest of these. One row a line."""
+    found = []
+    for level, rows in keyed:
+        dealt = rows.select(*_ROW).repartition("key").sortWithinPartitions("key", "doc", "line")
+        found.append(_by_group(dealt, ["key"], lambda t, level=level: _nearest(t, level), _LIKELY))
+    if crowd is not None:  # sixteen early members of each stand for it
+        place = F.struct("doc", "line", "n", "sign", "i")
+        stars = crowd.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
+        near = stars.alias("a").join(crowd.alias("b"), "key").where(_similar_enough(levels))
+        far = F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))).alias("far")
+        found.append(near.select("b.doc", "b.line", F.lit(True).alias("others"), far, F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line")))
+    every = found[0]
     for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
-
-
-def _crowds(rows: DataFrame, level: int, verify: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """Pairs within very large groups: against sixteen early members; then, for lines that no verified one of these settles, against all."""
-    place = F.struct("doc", "line", "n", "sign", "i")
-    first = rows.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
-    first = materialize(first, "first")
-    stars = first.alias("a").join(rows.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
-    stars = materialize(verify(materialize(stars, "stars")), "met")
-    met = stars.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
-    rest = rows.join(met, ["doc", "line"], "left_anti")
-    pairs = rows.alias("a").join(rest.alias("b"), "key").where(_similar_enough(level)).selectExpr(*_NAMED).distinct()
-    return [stars, materialize(pairs, "rest")]
+        every = every.unionByName(x)
+    one = every.groupBy("doc", "line").agg(
+        F.max("others").alias("others"), F.min(F.struct("far", "a_doc", "a_line")).alias("best"),
+        F.min(F.struct("a_doc", "a_line")).alias("low"), F.max(F.struct("a_doc", "a_line")).alias("high"),
+    )
+    return one.select("doc", "line", (F.col("others") | (F.col("low") < F.col("high"))).alias("others"), "best.a_doc", "best.a_line")
 
 
 def _line_words(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, words): the distinct words of the wanted lines (doc, lines)."""
-    d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text")).join(wanted, "doc")
+    """(doc, line, words): the distinct words of the wanted lines (doc, line), between line breaks."""
+    lists = wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text")).join(lists, "doc")
 
     def run(batches):
         for batch in batches:
-            for block in in_blocks(batch, pc.binary_length(batch.column(1)).to_pylist(), 2 << 20):
+            for block in in_blocks(batch, pc.binary_length(batch.column(1)).to_pylist(), 1 << 20):
                 out = []
                 for doc, t, lines in zip(*(c.to_pylist() for c in block.columns), strict=True):
                     split = t.encode().split(b"\n")
-                    out += [(doc, i, [w.decode() for w in sorted(set(words(split[i])))]) for i in sorted(set(lines)) if i < len(split)]
+                    out += [(doc, i, b"\n".join(sorted(set(words(split[i]))))) for i in sorted(set(lines)) if i < len(split)]
                 a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.list_(pa.string()))], ["doc", "line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["doc", "line", "words"])
+
+    return d.select("doc", "text", "lines").mapInArrow(run, "doc bigint, line int, words binary")
+
 
-    return d.select("doc", "text", "lines").mapInArrow(run, "doc bigint, line int, words array<string>")
+def _similar(a: bytes, b: bytes) -> bool:
+    """Whether two lines' words, as ``_line_words`` gives them, have Jaccard similarity 4/5 or more."""
+    x, y = set(a.split(b"\n")), set(b.split(b"\n"))
+    return 9 * len(x & y) >= 4 * (len(x) + len(y))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Those of the pairs whose lines are similar, by the words themselves."""
-    ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))
-    wanted = ends.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
+def _verified(likely: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, line) of those whose likeliest earlier line is similar, by the words themselves."""
+    wanted = likely.select("doc", "line").unionByName(likely.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")))
     found = materialize(_line_words(docs, wanted, key, text), "words")
     a = found.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
-    b = found.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
-    both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
-    overlap = F.size(F.array_intersect("a_words", "b_words"))
-    return both.where(9 * overlap >= 4 * (F.size("a_words") + F.size("b_words"))).select(*_PAIR)
+    both = likely.join(a, ["a_doc", "a_line"]).join(found, ["doc", "line"]).select("doc", "line", "a_words", "words")
+
+    def run(batches):
+        for batch in batches:
+            ok = [_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["doc", "line"])
+
+    good = materialize(both.mapInArrow(run, "doc bigint, line int").distinct(), "settled")
+    free(found)
+    return good
+
+
+def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str, text: str, most_held: int, made: list) -> DataFrame:
+    """(doc, line) of the lines ``left`` that are similar to any earlier line: each is compared with all that share a key with it.
+
+    A key's group is dealt to cells of ``most_held`` rows on either side, so no task holds a
+    whole crowd; a line found similar in a cell gives one row, whatever the number of its partners.
+    """
+    marked = left.select("doc", "line", F.lit(True).alias("open"))
+    parts = []
+    for level, rows in [*keyed, *([(levels, crowd)] if crowd is not None else [])]:
+        rows = rows.select(*_ROW)
+        wanted = rows.join(marked, ["doc", "line"], "left_semi").select("key").distinct()
+        parts.append(rows.join(wanted, "key", "left_semi").withColumn("level", F.lit(level)))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    every = materialize(every.join(marked, ["doc", "line"], "left"), "open-groups")
+    made.append(every)
+    size = every.groupBy("key").agg(F.ceil(F.count("*") / most_held).cast("int").alias("p"))
+    found = materialize(_line_words(docs, every.select("doc", "line"), key, text), "words")
+    made.append(found)
+    mine = F.pmod(F.xxhash64("doc", "line"), F.col("p")).cast("int")
+    cells = F.expr("explode(array_distinct(concat(transform(sequence(0, p - 1), y -> mine * p + y), if(open, transform(sequence(0, p - 1), x -> x * p + mine), array())))) as cell")
+    dealt = every.join(size, "key").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("mine", mine).select("*", cells)
+    dealt = dealt.select(*_ROW, "level", "cell", (F.floor(F.col("cell") / F.col("p")) == F.col("mine")).alias("is_a"), (F.col("open") & (F.col("cell") % F.col("p") == F.col("mine"))).alias("is_b"))
+    dealt = dealt.join(found, ["doc", "line"]).repartition("key", "cell").sortWithinPartitions("key", "cell", "doc", "line")
+
+    def settle(t):
+        k, doc, line, n, i, sign = (t.column(c).to_numpy() for c in _ROW)
+        level, cell, is_a, is_b = (t.column(c).to_numpy(zero_copy_only=False) for c in ("level", "cell", "is_a", "is_b"))
+        said = t.column("words").to_pylist()
+        good = []
+        edge = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(cell) != 0)) + 1, [len(k)]])
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            a = np.arange(lo, hi)[is_a[lo:hi]]
+            for b in (np.arange(lo, hi)[is_b[lo:hi]]).tolist():
+                before = a[: np.searchsorted(a, b)]
+                before = before[(doc[before] != doc[b]) | (line[before] != line[b])]
+                ok, far = _passing(n, i, sign, before, np.full(len(before), b), level[b])
+                before = before[ok][np.argsort(far[ok], kind="stable")]
+                if any(_similar(said[x], said[b]) for x in before.tolist()):
+                    good.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(doc[good], pa.int64()), pa.array(line[good], pa.int32())], ["doc", "line"])
+
+    return _by_group(dealt, ["key", "cell"], settle, "doc bigint, line int").distinct()
+
+
+def later_matches(sets: DataFrame, docs: DataFrame, key: str, text: str, most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
+    """(doc, line) of the sets that are similar to an earlier one.
+
+    First the likeliest earlier line of each, one a line, is verified on the words. Lines that
+    it doesn't settle and that have other candidates are then compared with all of these.
+    """
+    made: list[DataFrame] = []
+    keyed, crowd = _keyed(sets, most_paired, levels, made)
+    likely = materialize(_likely(keyed, crowd, levels), "likely")
+    settled = _verified(likely, docs, key, text)
+    left = likely.where("others").select("doc", "line")
+    left = left if crowd is None else left.unionByName(crowd.select("doc", "line")).distinct()
+    left = materialize(left.join(settled, ["doc", "line"], "left_anti"), "left")
+    gone = settled
+    if not left.isEmpty():
+        more = materialize(_rest(keyed, crowd, levels, left, docs, key, text, most_paired, made), "settled")
+        gone = materialize(settled.unionByName(more), "settled")
+        free(settled, more)
+    free(likely, left, *made)
+    return gone
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,11 +422,11 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = line_sets(docs, rarity_classes(counts), key, text)
     first = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("f")
     sets = materialize(rows.groupBy("set_key").agg(first).select("f.*"), "sets")
-    pairs = materialize(candidates(sets.where("doc is not null"), lambda p: _verified(p, docs, key, text)), "candidates")
-    verified = _verified(pairs, docs, key, text)
-    gone = materialize(verified.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct(), "gone")
+    gone = later_matches(sets.where("doc is not null"), docs, key, text)
     stay = sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
-    return materialize(stay.groupBy("doc").agg(F.collect_list("line").alias("lines")), "stay")
+    stay = materialize(stay.groupBy("doc").agg(F.collect_list("line").alias("lines")), "stay")
+    free(sets, gone)
+    return stay
 
 
 MADE = "new_text string, n_lines bigint, n_removed bigint"

@@ -16,15 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
-
-#: Function words of the supported languages (fixed values).
-FUNCTION_WORDS = (
-    "the and of to in is that it for with as by this are be on or at from not was "
-    "le la les de des du et un une en que qui pour par dans sur au il elle est "
-    "der die das und ein eine zu mit den von dem sich auf ist nicht an im es für auch als "
-    "el los las y una por con del se para no lo su al como más o"
-).split()
+from chronoloom.llm.common import FUNCTION_WORDS, materialize
 
 #: name -> (SQL condition of a bad vote, SQL condition of a good vote); else the rule abstains.
 RULES = {

@@ -315,7 +315,7 @@ def near_lines(spark):
 
 @pytest.mark.parametrize("most", [2, 400])
 def test_lines(spark, plain, awkward, none, most, monkeypatch):
-    monkeypatch.setattr(line_dedup.candidates, "__defaults__", (most, line_dedup.LEVELS))
+    monkeypatch.setattr(line_dedup.later_matches, "__defaults__", (most, line_dedup.LEVELS))
     df, rows = near_lines(spark)
     assert {r.doc_id: r.new_text for r in line_dedup.dedup_lines(df).collect()} == kept_text(rows)
     if most == 400:
@@ -325,7 +325,7 @@ def test_lines(spark, plain, awkward, none, most, monkeypatch):
 
 def test_crowd_of_strangers(spark, monkeypatch):
     """Lines of 16 common words and 4 of 120: two are similar if they share 2 of these; the early members of a crowd share mostly 1."""
-    monkeypatch.setattr(line_dedup.candidates, "__defaults__", (20, 1))
+    monkeypatch.setattr(line_dedup.later_matches, "__defaults__", (20, 1))
     rnd = random.Random(8)
     core, pool = [f"core{i}" for i in range(16)], [f"pool{i}" for i in range(120)]
     rows = [(i, " ".join(core + rnd.sample(pool, 4))) for i in range(1200)]
