@@ -31,6 +31,9 @@ SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Sets sharing a key that are compared in pairs; more go to longer keys.
 MOST_PAIRED = 1000
 LEVELS = 4
+#: Words of a line above which its signature has 128 bits, and 256, in place of 64.
+WIDER = (40, 160)
+_SIGNS = ["sign", "s1", "s2", "s3"]
 
 
 class _Words(dict):
@@ -135,14 +138,16 @@ def least_overlap(n: int) -> int:
 
 
 def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> DataFrame:
-    """One row for each line with a word: set_key, doc, line, n, sign, prefix.
+    """One row for each line with a word: set_key, doc, line, n, sign, s1, s2, s3, prefix.
 
     A word's key sorts rare words first: rarity class over 55 bits of its hash. ``prefix``
-    holds the first keys, as many as the prefix filter and the longer keys need.
+    holds the first keys, as many as the prefix filter and the longer keys need. ``sign`` has
+    the parity of 64 classes of words; lines of over ``WIDER`` words have 128 or 256 classes,
+    whose further bits are in s1 to s3 (0 for shorter lines).
     """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    kind = "set_key binary, doc bigint, line int, n int, sign bigint, prefix array<bigint>"
-    names = ["set_key", "doc", "line", "n", "sign", "prefix"]
+    kind = "set_key binary, doc bigint, line int, n int, sign bigint, s1 bigint, s2 bigint, s3 bigint, prefix array<bigint>"
+    names = ["set_key", "doc", "line", "n", *_SIGNS, "prefix"]
     d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).cast("binary").alias("text"))
 
     def run(batches):
@@ -163,8 +168,10 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
                 k, line = k[new], line[new]
                 held, begin, n = np.unique(line, return_index=True, return_counts=True)
                 row = np.repeat(np.arange(len(held)), n)
-                parity = np.bincount(row * 64 + (k & 63), minlength=64 * len(held)).reshape(len(held), 64) & 1
-                sign = np.packbits(parity.astype(np.uint8), axis=1, bitorder="little").view(np.int64).reshape(-1)
+                parity = np.bincount(row * 256 + (k & 255), minlength=256 * len(held)).reshape(len(held), 256) & 1
+                w = np.packbits(parity.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                wide, widest = n > WIDER[0], n > WIDER[1]
+                signs = [w[:, 0] ^ w[:, 1] ^ w[:, 2] ^ w[:, 3], (w[:, 1] ^ w[:, 3]) * wide, w[:, 2] * widest, w[:, 3] * widest]
                 raw, ends = k.tobytes(), begin + n
                 digest = xxhash.xxh128_digest
                 keys = [digest(raw[8 * a : 8 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
@@ -177,7 +184,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.binary()), block.column(0).take(pa.array(doc)), pa.array((held - lines_before[doc]).astype(np.int32)),
-                        pa.array(n.astype(np.int32)), pa.array(sign), prefix,
+                        pa.array(n.astype(np.int32)), *map(pa.array, signs), prefix,
                     ],
                     names,
                 )
@@ -187,14 +194,17 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
 
 
 #: A row of a key's group: where the line is, its size, the key's place in it and its signature.
-_ROW = ["key", "doc", "line", "n", "i", "sign"]
+_ROW = ["key", "doc", "line", "n", "i", *_SIGNS]
 _LIKELY = "doc bigint, line int, others boolean, far int, a_doc bigint, a_line int"
 
 
-def _passing(n, i, sign, a, b, level) -> tuple[np.ndarray, np.ndarray]:
+def _passing(n, i, signs, a, b, level) -> tuple[np.ndarray, np.ndarray]:
     """(whether the rows a and b pass the length, positional and signature filters, differing bits of their signatures)."""
     total = n[a] + n[b]
-    far = np.bitwise_count((sign[a] ^ sign[b]).view(np.uint64)).astype(np.int64)
+    bits = lambda x: np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+    d, d1, d2, d3 = (x[a] ^ x[b] for x in signs)
+    least = np.minimum(n[a], n[b])
+    far = np.where(least > WIDER[1], bits(d3) + bits(d2) + bits(d1 ^ d3) + bits(d ^ d1 ^ d2), np.where(least > WIDER[0], bits(d1) + bits(d ^ d1), bits(d)))
     ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
     ok &= 9 * (level + np.minimum(n[a] - i[a], n[b] - i[b]) - 1) >= 4 * total
     return ok & (9 * far <= total), far
@@ -202,7 +212,7 @@ def _passing(n, i, sign, a, b, level) -> tuple[np.ndarray, np.ndarray]:
 
 def _nearest(t: pa.Table, level: int) -> pa.RecordBatch:
     """For every row with an earlier one of its key that passes: the nearest by signature, and whether others pass; rows are in order of (key, doc, line)."""
-    key, doc, line, n, i, sign = (t.column(c).to_numpy() for c in _ROW)
+    key, doc, line, n, i, *signs = (t.column(c).to_numpy() for c in _ROW)
     best, found = np.full(len(key), np.iinfo(np.int64).max), np.zeros(len(key), np.int32)
     live = np.arange(len(key))
     for k in range(1, len(key)):
@@ -210,7 +220,7 @@ def _nearest(t: pa.Table, level: int) -> pa.RecordBatch:
         live = live[key[live] == key[live + k]]
         if not len(live):
             break
-        ok, far = _passing(n, i, sign, live, live + k, level)
+        ok, far = _passing(n, i, signs, live, live + k, level)
         ok &= (doc[live] != doc[live + k]) | (line[live] != line[live + k])
         a, b = live[ok], live[ok] + k
         found[b] += 1
@@ -245,13 +255,22 @@ def _by_group(dealt: DataFrame, by: list[str], settle, kind: str) -> DataFrame:
     return dealt.mapInArrow(run, kind)
 
 
+def _far() -> Column:
+    """Differing bits of the signatures of joined rows a and b."""
+    d, d1, d2, d3 = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in _SIGNS)
+    least = F.least("a.n", "b.n")
+    wide = F.bit_count(d1) + F.bit_count(d.bitwiseXOR(d1))
+    widest = F.bit_count(d3) + F.bit_count(d2) + F.bit_count(d1.bitwiseXOR(d3)) + F.bit_count(d.bitwiseXOR(d1).bitwiseXOR(d2))
+    return F.when(least > WIDER[1], widest).when(least > WIDER[0], wide).otherwise(F.bit_count(d))
+
+
 def _similar_enough(level: int) -> Column:
     """The same filters for joined rows a and b, a the earlier."""
     total = F.col("a.n") + F.col("b.n")
     return (
         (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n"))
         & (9 * (level + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) - 1) >= 4 * total)
-        & (9 * F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))) <= total)
+        & (9 * _far() <= total)
         & (F.struct("a.doc", "a.line") < F.struct("b.doc", "b.line"))
     )
 
@@ -262,7 +281,7 @@ def _keyed(sets: DataFrame, most_paired: int, levels: int, made: list) -> tuple[
     Rows of a key that more share go to longer keys: the key with a later word of the prefix.
     A word in so many sets has a counter of at least as much, so level 1 counts such words alone.
     """
-    rows = sets.where("n > 3").select("doc", "line", "n", "sign", "prefix", F.expr("posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"))
+    rows = sets.where("n > 3").select("doc", "line", "n", *_SIGNS, "prefix", F.expr("posexplode(slice(prefix, 1, n - ceil(4 * n / 5) + 1)) as (i, key)"))
     rows = rows.where("shiftright(key, 55) <> 0")  # class 0: no other line has the word
     frequent = rows.where(F.shiftright("key", 55) >= int(rarity_classes(np.array([most_paired + 1]))[0]))
     out = []
@@ -279,8 +298,8 @@ def _keyed(sets: DataFrame, most_paired: int, levels: int, made: list) -> tuple[
             made.append(crowd)
             return out, crowd
         later = f"explode(sequence(i + 1, greatest(i + 1, cast(n - ceil(4 * n / 5) + {level} as int)))) as j"
-        rows = many.select("doc", "line", "n", "sign", "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
-        rows = rows.select("doc", "line", "n", "sign", "prefix", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key"))
+        rows = many.select("doc", "line", "n", *_SIGNS, "prefix", F.expr(later), F.col("key").alias("old")).where("j < size(prefix)")
+        rows = rows.select("doc", "line", "n", *_SIGNS, "prefix", F.col("j").alias("i"), F.xxhash64("old", F.expr("get(prefix, j)")).alias("key"))
         frequent = rows = materialize(rows, "longer-keys")
         made.append(rows)
 
@@ -292,11 +311,10 @@ def _likely(keyed, crowd, levels: int) -> DataFrame:
         dealt = rows.select(*_ROW).repartition("key").sortWithinPartitions("key", "doc", "line")
         found.append(_by_group(dealt, ["key"], lambda t, level=level: _nearest(t, level), _LIKELY))
     if crowd is not None:  # sixteen early members of each stand for it
-        place = F.struct("doc", "line", "n", "sign", "i")
+        place = F.struct("doc", "line", "n", *_SIGNS, "i")
         stars = crowd.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
         near = stars.alias("a").join(crowd.alias("b"), "key").where(_similar_enough(levels))
-        far = F.bit_count(F.col("a.sign").bitwiseXOR(F.col("b.sign"))).alias("far")
-        found.append(near.select("b.doc", "b.line", F.lit(True).alias("others"), far, F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line")))
+        found.append(near.select("b.doc", "b.line", F.lit(True).alias("others"), _far().alias("far"), F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line")))
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -355,27 +373,48 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
     whole crowd; a line found similar in a cell gives one row, whatever the number of its partners.
     """
     marked = left.select("doc", "line", F.lit(True).alias("open"))
+    names = [*_ROW, "level", "open"]
+    kind = "key bigint, doc bigint, line int, n int, i int, sign bigint, s1 bigint, s2 bigint, s3 bigint, level int, open boolean"
+
+    def involved(t):
+        """Lines that are open, and earlier ones that pass the filters with one of these."""
+        k, doc, line, n, i, *signs = (t.column(c).to_numpy() for c in _ROW)
+        level, opened = (t.column(c).to_numpy(zero_copy_only=False) for c in ("level", "open"))
+        first = np.searchsorted(k, k)
+        keep = np.zeros(len(k), bool)
+        for b in np.flatnonzero(opened).tolist():
+            before = np.arange(first[b], b)
+            ok, _ = _passing(n, i, signs, before, np.full(len(before), b), level[b])
+            ok &= (doc[before] != doc[b]) | (line[before] != line[b])
+            keep[before[ok]] = True
+            keep[b] |= bool(ok.any())
+        return t.filter(pa.array(keep)).select(names).combine_chunks().to_batches()[0] if keep.any() else pa.RecordBatch.from_pylist([], t.select(names).schema)
+
     parts = []
-    for level, rows in [*keyed, *([(levels, crowd)] if crowd is not None else [])]:
+    for level, rows, small in [*((level, rows, True) for level, rows in keyed), *([(levels, crowd, False)] if crowd is not None else [])]:
         rows = rows.select(*_ROW)
         wanted = rows.join(marked, ["doc", "line"], "left_semi").select("key").distinct()
-        parts.append(rows.join(wanted, "key", "left_semi").withColumn("level", F.lit(level)))
+        group = rows.join(wanted, "key", "left_semi").join(marked, ["doc", "line"], "left")
+        group = group.select(*_ROW, F.lit(level).alias("level"), F.coalesce("open", F.lit(False)).alias("open"))
+        if small:
+            group = _by_group(group.repartition("key").sortWithinPartitions("key", "doc", "line"), ["key"], involved, kind)
+        parts.append(group)
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    every = materialize(every.join(marked, ["doc", "line"], "left"), "open-groups")
+    every = materialize(every, "open-groups")
     made.append(every)
     size = every.groupBy("key").agg(F.ceil(F.count("*") / most_held).cast("int").alias("p"))
     found = materialize(_line_words(docs, every.select("doc", "line"), key, text), "words")
     made.append(found)
     mine = F.pmod(F.xxhash64("doc", "line"), F.col("p")).cast("int")
     cells = F.expr("explode(array_distinct(concat(transform(sequence(0, p - 1), y -> mine * p + y), if(open, transform(sequence(0, p - 1), x -> x * p + mine), array())))) as cell")
-    dealt = every.join(size, "key").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("mine", mine).select("*", cells)
+    dealt = every.join(size, "key").withColumn("mine", mine).select("*", cells)
     dealt = dealt.select(*_ROW, "level", "cell", (F.floor(F.col("cell") / F.col("p")) == F.col("mine")).alias("is_a"), (F.col("open") & (F.col("cell") % F.col("p") == F.col("mine"))).alias("is_b"))
     dealt = dealt.join(found, ["doc", "line"]).repartition("key", "cell").sortWithinPartitions("key", "cell", "doc", "line")
 
     def settle(t):
-        k, doc, line, n, i, sign = (t.column(c).to_numpy() for c in _ROW)
+        k, doc, line, n, i, *signs = (t.column(c).to_numpy() for c in _ROW)
         level, cell, is_a, is_b = (t.column(c).to_numpy(zero_copy_only=False) for c in ("level", "cell", "is_a", "is_b"))
         said = t.column("words").to_pylist()
         good = []
@@ -385,7 +424,7 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
             for b in (np.arange(lo, hi)[is_b[lo:hi]]).tolist():
                 before = a[: np.searchsorted(a, b)]
                 before = before[(doc[before] != doc[b]) | (line[before] != line[b])]
-                ok, far = _passing(n, i, sign, before, np.full(len(before), b), level[b])
+                ok, far = _passing(n, i, signs, before, np.full(len(before), b), level[b])
                 before = before[ok][np.argsort(far[ok], kind="stable")]
                 if any(_similar(said[x], said[b]) for x in before.tolist()):
                     good.append(b)
@@ -420,7 +459,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(doc, lines): of every document, the numbers of lines that stay, among those with a word."""
     counts = word_counts(docs, text)
     rows = line_sets(docs, rarity_classes(counts), key, text)
-    first = F.min(F.struct("doc", "line", "n", "sign", "prefix")).alias("f")
+    first = F.min(F.struct("doc", "line", "n", *_SIGNS, "prefix")).alias("f")
     sets = materialize(rows.groupBy("set_key").agg(first).select("f.*"), "sets")
     gone = later_matches(sets.where("doc is not null"), docs, key, text)
     stay = sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
