@@ -209,13 +209,12 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 3000, most_lines: int = 2000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 3000) -> dict:
     """Train on at most ``sample`` labelled rows outside the held-out fifth.
 
     Those with the least hash of their key are taken; rows without a key or label don't
-    count, and of a key's several labels the least. Texts over ``most_lines`` lines are
-    left out of the training (scoring takes every text whole). The bound keeps the chosen
-    keys small enough to broadcast and the features small enough for the driver.
+    count, and of a key's several labels the least. Their texts are taken whole. The bound
+    keeps the chosen keys small enough to broadcast and the features small enough for the driver.
     """
     chosen = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).dropna().groupBy("__k").agg(F.min("__y").alias("__y"))
     chosen = chosen.where(~held_out("__k")).orderBy(F.xxhash64("__k"), "__k").limit(sample)
@@ -226,15 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             out: dict[str, list] = {"active": [], "lengths": [], "n": []}
             for t in texts:
                 active, lengths, counts = features([t])
-                fits = int(counts[0]) <= most_lines
-                out["active"].append(active.astype("<i4").tobytes() if fits else b"")
-                out["lengths"].append(lengths.tobytes() if fits else b"")
-                out["n"].append(int(counts[0]) if fits else -1)
+                out["active"].append(active.astype("<i4").tobytes())
+                out["lengths"].append(lengths.tobytes())
+                out["n"].append(int(counts[0]))
             return out
 
         return run
 
-    rows = map_texts(d, ["__k", "__y"], "active binary, lengths binary, n int", factory).where("n >= 0").collect()
+    rows = map_texts(d, ["__k", "__y"], "active binary, lengths binary, n int", factory).collect()
     rows.sort(key=lambda r: (r["__k"], bytes(r["lengths"])))
     width = 3 * len(BINS)
     active = np.frombuffer(b"".join(bytes(r["active"]) for r in rows), "<i4").reshape(-1, width)

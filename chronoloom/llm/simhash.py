@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import drop_path, map_texts, materialize, new_path
+from chronoloom.llm.common import free, map_texts, materialize
 
 SEGMENTS = 5
 TAU = 2
+#: Column of a fingerprint while other columns are carried along.
+FP = "__fp"
 #: Fingerprints sharing a key that are still compared in pairs.
 MOST_PAIRED = 48
 
@@ -41,16 +43,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
-    """Add ``fp``, the fingerprint's bits as a signed long; null and word-less texts have 0."""
+    """Add ``__fp``, the fingerprint's bits as a signed long; null and word-less texts have 0."""
 
     def factory():
         def run(texts):
             values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            return {"fp": values.view(np.int64)}
+            return {FP: values.view(np.int64)}
 
         return run
 
-    return map_texts(docs, carry, "fp bigint", factory, text)
+    return map_texts(docs, carry, f"{FP} bigint", factory, text)
 
 
 def ring_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -104,63 +106,64 @@ def links(fps: DataFrame, tau: int = TAU, segments: int = SEGMENTS, most_paired:
     return pairs.unionByName(stars).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label) with label the least ``rank`` reachable; nodes: (node, rank), edges: (a, b) of nodes.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) with label the least ``rank`` reachable; nodes: (node, rank) with distinct nodes, edges: (a, b) of nodes.
 
-    Each round takes the least label among neighbours, then the label of that label's node.
-    Every round is written to the shared folder, so a lost executor costs one round.
+    A label is a rank and the node that holds it, so equal ranks of different nodes stay apart.
+    Each round takes the least label among neighbours, then the label of that label's node, until
+    none moves: labels only fall, so that it ends. Every round is written to the shared folder;
+    a lost executor costs one round.
     """
-    spark = nodes.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
     linked = both.select(F.col("a").alias("node")).distinct()
-    old_path = new_path(spark, "labels")
-    nodes.join(linked, "node", "left_semi").select("node", "rank", F.col("rank").alias("label")).write.parquet(old_path)
-    for _ in range(most_rounds):
-        old = spark.read.parquet(old_path)
+    own = F.struct("rank", "node").alias("label")
+    old = materialize(nodes.join(linked, "node", "left_semi").select("node", own), "labels")
+    while True:
         offered = both.join(old.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("offer"))
-        new = old.join(offered.withColumnRenamed("a", "node"), "node").select("node", "rank", "label", F.least("label", "offer").alias("next"))
+        new = old.join(offered.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "offer").alias("next"))
         new = materialize(new, "offers")
-        jump = new.select(F.col("rank").alias("next"), F.col("next").alias("further"))
-        done = new.join(jump, "next").select("node", "rank", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("moved"))
-        path = new_path(spark, "labels")
-        done.write.parquet(path)
-        drop_path(spark, old_path)
-        old_path = path
-        if not spark.read.parquet(path).where("moved").limit(1).count():
+        jump = new.select(F.col("node").alias("of"), F.col("next").alias("further"))
+        done = new.join(jump, F.col("next.node") == F.col("of")).select("node", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved"))
+        done = materialize(done, "labels")
+        free(old, new)
+        old = done
+        if not done.where("moved").limit(1).count():
             break
-    else:
-        raise RuntimeError("components did not settle")
-    return spark.read.parquet(old_path).select("node", "label")
+    free(both)
+    return old.select("node", F.col("label.rank").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """Add fingerprint (16 hex digits) and component_id, the least key reachable by links.
+    """Add fingerprint (16 hex digits) and component_id, the least key reachable by links; one row out for each row in.
 
     Fingerprints link at 2 or fewer differing bits, 0 among them: texts without words share
     fingerprint zero and link like others. Null keys take no part in naming a component and
     get a null one only if no other key reaches them. Rows that repeat a key share its
-    component only if their fingerprints do.
+    component only if their fingerprints do. Carried columns of the two names give way.
     """
-    carry = [key] if carry is None else carry
+    carry = [key] if carry is None else [c for c in carry if c not in ("fingerprint", "component_id")]
     d = materialize(fingerprints(docs, list(dict.fromkeys([*carry, key])), text, shingle), "fingerprints")
     # A group of copies may hold a third of all rows: the partial aggregate folds it first.
-    distinct = materialize(d.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    distinct = materialize(d.groupBy(F.col(FP).alias("fp")).agg(F.min(key).alias("least")), "distinct")
     edges = links(distinct.select("fp"))
-    ranked = distinct.select(F.col("fp").alias("node"), F.coalesce("least", F.lit((1 << 63) - 1)).alias("rank"))
+    # Fingerprints under null keys alone come last.
+    ranked = distinct.select(F.col("fp").alias("node"), F.struct(F.col("least").isNull().alias("none"), "least").alias("rank"))
     labels = components(ranked, edges)
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    named = materialize(named.select("fp", F.coalesce(F.nullif("label", F.lit((1 << 63) - 1)), "least").alias("component_id")), "named")
-    # Skewed by copies of one text: one row on the right, so adaptive execution can split the left.
-    out = d.join(named, "fp")
-    return out.select(*carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(named.select(F.col("fp").alias(FP), F.coalesce(F.col("label.least"), "least").alias("component_id")), "named")
+    free(distinct)
+    # Skewed by copies of one text: one row on the right, so adaptive execution splits the left (spark.sql.adaptive.skewJoin.enabled, on by default).
+    out = d.join(named, FP)
+    return out.select(*carry, F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the least doc_id of each component.
 
     It follows op4's rule: three-word shingles and at most 2 of 64 bits; nearness of 0.8 is not looked for.
+    Rows without a doc_id stay if any such row has a component of its own.
     """
     named = near_duplicates(docs.select("doc_id", "text"))
     kept = named.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*docs.columns)

@@ -53,10 +53,9 @@ class _Cache(dict):
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of the text, without special tokens, as bytes.
+    """``encode(text)`` gives the ids of the text as bytes, equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    Equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` with the
-    strings of special tokens taken as ordinary text.
+    A text that may hold the string of a special token goes to the tokenizer whole, which gives that token's id.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -64,7 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: How the strings of special tokens begin; a text without it holds none.
+        self.mark = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.word_end = '"type": "Replace"' in (self.tokenizer.normalizer and str(self.tokenizer.to_str(pretty=False).replace('":"', '": "'))[:4000] or "")
         self.tokenize = self.tokenizer.model.tokenize
         self.units = _Cache(self._unit, most)
@@ -98,6 +98,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.mark in text:
+            return self._whole(text)
         head, *rest = text.replace("\n", " \n").split(" ")
         if head and not _blank(head[-1]):
             try:

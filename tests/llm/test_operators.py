@@ -25,7 +25,6 @@ def ids_of(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids + [end] for x in texts]
 
 
@@ -186,6 +185,27 @@ def test_simhash(spark, awkward, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_keeps_rows(spark):
+    """Repeated, null and near keys and clashing names: as many rows out as in, components as union-find names them."""
+    rnd = random.Random(6)
+    base = [prose(rnd, 60) for _ in range(6)]
+    texts = [*base, *base, *(t + " x" for t in base), *(t.replace(" ", "  ") for t in base), None, "", "one"]
+    rows = [(rnd.choice([None, 1, 2, 3, 40, 50, 60]), rnd.choice(texts)) for _ in range(150)] + [(7, "same"), (7, "other text"), (None, "lone text of no key"), (None, "second such")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("component_id", F.lit("clash")).withColumn("fingerprint", F.lit(1)).withColumn("fp", F.lit("kept"))
+    out = simhash.near_duplicates(df, carry=df.columns).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows) and all(r.fp == "kept" for r in out)
+    prints = {t: simhash_of(t or "") for _, t in rows}
+    group = {f: f for f in prints.values()}
+    for _ in group:
+        for f in group:
+            group[f] = min(group[g] for g in group if (f ^ g).bit_count() <= 2)
+    least = defaultdict(lambda: None)
+    for k, t in rows:
+        g = group[prints[t]]
+        least[g] = k if least[g] is None else least[g] if k is None else min(k, least[g])
+    assert all(r.component_id == least[group[prints[r.text]]] for r in out)
+
+
 @pytest.mark.parametrize("most", [1, 3, 1000])
 def test_links_and_components(spark, most):
     rnd = random.Random(9)
