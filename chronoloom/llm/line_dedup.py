@@ -366,13 +366,18 @@ def _verified(likely: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
     return good
 
 
+def _small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows of two or three numbers; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str, text: str, most_held: int, made: list) -> DataFrame:
     """(doc, line) of the lines ``left`` that are similar to any earlier line: each is compared with all that share a key with it.
 
     A key's group is dealt to cells of ``most_held`` rows on either side, so no task holds a
     whole crowd; a line found similar in a cell gives one row, whatever the number of its partners.
     """
-    marked = left.select("doc", "line", F.lit(True).alias("open"))
+    marked = _small(left.select("doc", "line", F.lit(True).alias("open")))
     names = [*_ROW, "level", "open"]
     kind = "key bigint, doc bigint, line int, n int, i int, sign bigint, s1 bigint, s2 bigint, s3 bigint, level int, open boolean"
 
@@ -393,8 +398,9 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
     parts = []
     for level, rows, small in [*((level, rows, True) for level, rows in keyed), *([(levels, crowd, False)] if crowd is not None else [])]:
         rows = rows.select(*_ROW)
-        wanted = rows.join(marked, ["doc", "line"], "left_semi").select("key").distinct()
-        group = rows.join(wanted, "key", "left_semi").join(marked, ["doc", "line"], "left")
+        wanted = materialize(rows.join(marked, ["doc", "line"], "left_semi").select("key").distinct(), "open-keys")
+        made.append(wanted)
+        group = rows.join(_small(wanted), "key", "left_semi").join(marked, ["doc", "line"], "left")
         group = group.select(*_ROW, F.lit(level).alias("level"), F.coalesce("open", F.lit(False)).alias("open"))
         if small:
             group = _by_group(group.repartition("key").sortWithinPartitions("key", "doc", "line"), ["key"], involved, kind)

@@ -58,7 +58,7 @@ class Encoder:
     A text that may hold the string of a special token goes to the tokenizer whole, which gives that token's id.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
