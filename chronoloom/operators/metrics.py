@@ -7,8 +7,6 @@ group and label pair, however many cases there are.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,32 +75,42 @@ def class_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def _of_two(value, low, high):
-    """``value``, or an error if the labels beside 1, from ``low`` to ``high``, are several."""
-    return F.when(low < high, F.raise_error(F.lit("more than two labels: p1 alone does not tell the others apart"))).otherwise(value)
+def _probability(probs: str | None) -> tuple[Column, Column]:
+    """(array of class probabilities, true label as a place in it); without ``probs``, from ``p1`` of two labels, where others than 0 and 1 are an error."""
+    if probs:
+        return F.col(probs), F.col("y_true").cast("int")
+    known = F.col("y_true").isin(0, 1)
+    label = F.when(known, F.col("y_true").cast("int")).otherwise(F.raise_error(F.lit("more than two labels: p1 alone does not tell the others apart, give probs")))
+    return F.array(1 - F.col("p1"), F.col("p1")), label
+
 
+def log_loss(cases: DataFrame, keys: list[str] = KEYS, probs: str | None = None) -> DataFrame:
+    """Mean negative log probability of the true label, clipped by the machine epsilon.
 
-def log_loss(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Mean negative log probability of the true label of two, clipped by the machine epsilon; ``p1`` is that of label 1. Three labels in a group are an error."""
-    p = F.when(F.col("y_true") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    other = F.when(F.col("y_true") != 1, F.col("y_true"))
-    loss = -F.avg(F.ln(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))))
-    return cases.groupBy(*keys).agg(_of_two(loss, F.min(other), F.max(other)).alias("log_loss"))
+    ``probs`` names an array with the probability of label 0, 1 and so on; without it ``p1`` is
+    that of label 1 of two.
+    """
+    p, label = _probability(probs)
+    true = F.coalesce(F.get(p, label), F.lit(0.0))
+    return cases.groupBy(*keys).agg((-F.avg(F.ln(F.greatest(F.least(true, F.lit(1 - EPS)), F.lit(EPS))))).alias("log_loss"))
 
 
-def auroc(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Area under the ROC curve of ``p1`` for label 1, ties counted half; null with one label only; three labels in a group are an error.
+def auroc(cases: DataFrame, keys: list[str] = KEYS, probs: str | None = None) -> DataFrame:
+    """Area under the ROC curve, ties counted half; null where no label has both cases and others.
 
-    Cases fold to one row a distinct score before the window.
+    Two labels: of ``p1`` for label 1. With ``probs`` and more labels: each label against the
+    rest, weighted by its share of the cases. Cases fold to one row a distinct score before the window.
     """
-    one = F.count_if(F.col("y_true") == 1).alias("pos")
-    zero = F.count_if(F.col("y_true") != 1).alias("neg")
-    other = F.when(F.col("y_true") != 1, F.col("y_true"))
-    scores = cases.groupBy(*keys, "p1").agg(one, zero, F.min(other).alias("low"), F.max(other).alias("high"))
-    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("p1").rowsBetween(Window.unboundedPreceding, -1))
+    p, label = _probability(probs)
+    d = cases.select(*keys, label.alias("y"), F.posexplode(p).alias("label", "score"))
+    d = d.where("label = 1") if not probs else d
+    scores = d.groupBy(*keys, "label", "score").agg(F.count_if(F.col("y") == F.col("label")).alias("pos"), F.count_if(F.col("y") != F.col("label")).alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy(*keys, "label").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
     u = scores.withColumn("u", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2.0))
-    area = F.sum("u") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
-    return u.groupBy(*keys).agg(_of_two(area, F.min("low"), F.max("high")).alias("auroc"))
+    each = u.groupBy(*keys, "label").agg((F.sum("u") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("area"), F.sum("pos").alias("n"))
+    # Of two labels only the second counts.
+    each = each.withColumn("last", F.max("label").over(Window.partitionBy(*keys))).where("last <> 1 or label = 1")
+    return each.groupBy(*keys).agg((F.sum(F.col("area") * F.col("n")) / F.sum(F.when(F.col("area").isNotNull(), F.col("n")))).alias("auroc"))
 
 
 def regression_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -173,18 +181,22 @@ def assign(cost: np.ndarray) -> np.ndarray:
 
 
 def expected_mutual_information(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean mutual information of tables with these margins under the hypergeometric model."""
-    n, total, g = int(a.sum()), 0.0, math.lgamma
-    for x in map(int, a):
-        for y in map(int, b):
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log_p = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1) - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1)
-                total += k / n * math.log(n * k / (x * y)) * math.exp(log_p)
+    """Mean mutual information of tables with these margins under the hypergeometric model; blocks of a million cells at most are held."""
+    n = int(a.sum())
+    sizes, times = np.unique(np.stack(np.meshgrid(a, b, indexing="ij"), axis=-1).reshape(-1, 2).astype(np.int64), axis=0, return_counts=True)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])  # log(k!)
+    total = 0.0
+    for (x, y), often in zip(sizes.tolist(), times.tolist(), strict=True):
+        low, high = max(1, x + y - n), min(x, y)
+        for at in range(low, high + 1, 1 << 20):
+            k = np.arange(at, min(at + (1 << 20), high + 1))
+            chance = log[x] + log[y] + log[n - x] + log[n - y] - log[n] - log[k] - log[x - k] - log[y - k] - log[n - x - y + k]
+            total += often * float((k / n * np.log(n * k / (x * y)) * np.exp(chance)).sum())
     return total
 
 
-def matched_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """clustering_accuracy (best one-to-one matching of clusters and labels) and adjusted_mi.
+def matched_metrics(cases: DataFrame, keys: list[str] = KEYS, adjusted: bool = True) -> DataFrame:
+    """clustering_accuracy (best one-to-one matching of clusters and labels) and, if ``adjusted``, adjusted_mi (else null).
 
     Only contingency tables, one small table a group, reach Python.
     """
@@ -202,7 +214,7 @@ def matched_metrics(cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         i, j = np.nonzero(m)
         mi = float((m[i, j] / n * np.log(n * m[i, j] / (m.sum(axis=1)[i] * m.sum(axis=0)[j]))).sum())
         h = -float((a / n * np.log(a / n)).sum() + (b / n * np.log(b / n)).sum()) / 2
-        e = expected_mutual_information(a, b)
+        e = expected_mutual_information(a, b) if adjusted else np.nan
         ami = 1.0 if h - e == 0 else (mi - e) / (h - e)
         return part[keys].iloc[:1].assign(clustering_accuracy=best, adjusted_mi=ami)
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import arrays as A
 from chronoloom.functions import distances as D
-from chronoloom.operators import ensemble, evaluate, forecast, metrics, resample
+from chronoloom.operators import ensemble, evaluate, forecast, metrics, nearest, quality, resample
 from chronoloom.plans.views import duck, view
+from chronoloom.sources import results
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +101,25 @@ def q_auroc(spark, sf):
     return _rounded(metrics.auroc(view(spark, sf, "clf_cases")))
 
 
+_P3 = f"x as (select {K}, y_true, unnest([0, 1, 2]) as label, unnest([p0, p1, p2]) as score from clf3p_cases)"
+
+
+@query("q_logloss_multi", f"select {K}, round(-avg(ln(greatest(least([p0, p1, p2][y_true + 1], 1 - 2.220446049250313e-16), 2.220446049250313e-16))), 6) as log_loss from clf3p_cases group by {K}")
+def q_logloss_multi(spark, sf):
+    return _rounded(metrics.log_loss(view(spark, sf, "clf3p_cases").withColumn("p", F.array("p0", "p1", "p2")), probs="p"))
+
+
+@query(
+    "q_auroc_multi",
+    f"""with {_P3}, r as (select *, rank() over (partition by {K}, label order by score) + (count(*) over (partition by {K}, label, score) - 1) / 2e0 as rk from x),
+    a as (select {K}, label, count(*) filter (y_true = label) as n, (sum(case when y_true = label then rk else 0e0 end) - count(*) filter (y_true = label) * (count(*) filter (y_true = label) + 1) / 2e0)
+      / (count(*) filter (y_true = label) * cast(count(*) filter (y_true <> label) as double)) as area from r group by {K}, label)
+    select {K}, round(sum(area * n) / sum(n), 6) as auroc from a group by {K}""",
+)
+def q_auroc_multi(spark, sf):
+    return _rounded(metrics.auroc(view(spark, sf, "clf3p_cases").withColumn("p", F.array("p0", "p1", "p2")), probs="p"))
+
+
 @query("q_confusion_matrix", f"select {K}, y_true, y_pred, count(*) as n from clf3_cases group by {K}, y_true, y_pred")
 def q_confusion_matrix(spark, sf):
     return metrics.contingency(view(spark, sf, "clf3_cases"))
@@ -152,10 +172,22 @@ def q_mi_nmi(spark, sf):
 
 @query("q_clacc")
 def q_clacc(spark, sf):
-    return _rounded(metrics.matched_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "clustering_accuracy"))
+    return _rounded(metrics.matched_metrics(view(spark, sf, "clu_cases"), adjusted=False).select(*KEYS, "clustering_accuracy"))
 
 
-@query("q_ami")
+@query(
+    "q_ami",
+    f"""with {_PAIRS}, lf as (select i as k, sum(case when i = 0 then 0e0 else ln(i) end) over (order by i) as f from (select unnest(range(0, (select cast(max(m) as bigint) + 1 from tn))) as i)),
+    mi as (select {K}, sum(n / cast(m as double) * ln(m * n / cast(a * b as double))) as mi from t join ta using ({K}, y_true) join tb using ({K}, y_pred) join tn using ({K}) group by all),
+    ha as (select {K}, -sum(a / cast(m as double) * ln(a / cast(m as double))) as h from ta join tn using ({K}) group by all),
+    hb as (select {K}, -sum(b / cast(m as double) * ln(b / cast(m as double))) as g from tb join tn using ({K}) group by all),
+    ab as (select {K}, a, b, m, count(*) as often from ta join tb using ({K}) join tn using ({K}) group by all),
+    cells as (select *, unnest(range(greatest(1, cast(a + b - m as bigint)), cast(least(a, b) as bigint) + 1)) as k from ab),
+    e as (select {K}, sum(often * c.k / m * ln(m * c.k / cast(a * b as double)) * exp(f1.f + f2.f + f3.f + f4.f - f5.f - f6.f - f7.f - f8.f - f9.f)) as e from cells c
+      join lf f1 on f1.k = a join lf f2 on f2.k = b join lf f3 on f3.k = m - a join lf f4 on f4.k = m - b join lf f5 on f5.k = m join lf f6 on f6.k = c.k
+      join lf f7 on f7.k = a - c.k join lf f8 on f8.k = b - c.k join lf f9 on f9.k = m - a - b + c.k group by all)
+    select {K}, round((mi - e) / ((h + g) / 2 - e), 6) as adjusted_mi from mi join ha using ({K}) join hb using ({K}) join e using ({K})""",
+)
 def q_ami(spark, sf):
     return _rounded(metrics.matched_metrics(view(spark, sf, "clu_cases")).select(*KEYS, "adjusted_mi"))
 
@@ -241,18 +273,9 @@ def q_dedupe_last(spark, sf):
     return evaluate.last_written(o, ["o_custkey"], "o_orderkey")
 
 
-_UNITS = {"nanoseconds": 1e-6, "microseconds": 1e-3, "milliseconds": 1.0, "seconds": 1e3, "minutes": 6e4, "hours": 3.6e6, "days": 8.64e7}
-
-
-def to_milliseconds(value, unit):
-    """Time in milliseconds; an unknown unit is an error."""
-    scale = F.try_element_at(F.create_map(*[F.lit(x) for p in _UNITS.items() for x in p]), F.lower(F.trim(unit)))
-    return value * F.when(scale.isNull(), F.raise_error(F.concat(F.lit("unknown time unit "), unit))).otherwise(scale)
-
-
 @query("q_time_to_ms", "select run, round(fit * case unit when 'seconds' then 1e3 when 'milliseconds' then 1e0 when 'minutes' then 6e4 when 'nanoseconds' then 1e-6 else 3.6e6 end, 1) as ms from runs_time")
 def q_time_to_ms(spark, sf):
-    return _rounded(view(spark, sf, "runs_time").select("run", to_milliseconds(F.col("fit"), F.col("unit")).alias("ms")), 1)
+    return _rounded(view(spark, sf, "runs_time").select("run", results.to_milliseconds(F.col("fit"), F.col("unit")).alias("ms")), 1)
 
 
 @query("q_prob_verify", f"select {K}, count(*) filter (p1 + (1 - p1) between 0.99999 and 1.00001 and p1 between 0 and 1) as good, count(*) as n from clf_cases group by {K}")
@@ -262,9 +285,9 @@ def q_prob_verify(spark, sf):
     return c.groupBy(*KEYS).agg(F.count_if(ok).alias("good"), F.count("*").alias("n"))
 
 
-@query("q_argmax_pred", "select vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as y_pred from embeddings")
+@query("q_argmax_pred", "select vec_id, list_position(embedding, list_max(embedding)) - 1 as y_pred from embeddings")
 def q_argmax_pred(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("p", F.slice("embedding", 1, 10))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("p", F.col("embedding"))
     return e.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("y_pred"))
 
 
@@ -397,10 +420,10 @@ def q_summary_stats(spark, sf):
     return _rounded(_series(spark, sf).select("user_id", A.mean(x).alias("mean"), F.sqrt(A.variance(x)).alias("std"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), A.median(x).alias("median"), A.slope(x).alias("slope")))
 
 
-@query("q_interval_features", "select user_id, t // 10 as interval, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(regr_slope(v, t), 6) as slope from ts_long where abs(t) < 30 group by user_id, t // 10")
+@query("q_interval_features", "select user_id, t // 10 as interval, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(regr_slope(v, t), 6) as slope from ts_long group by user_id, t // 10")
 def q_interval_features(spark, sf):
     x = F.slice("x", F.col("interval").cast("int") * 10 + 1, F.lit(10))
-    s = _series(spark, sf).withColumn("interval", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least(F.size("x"), F.lit(30)) - 1) / 10))))
+    s = _series(spark, sf).withColumn("interval", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("x") - 1) / 10))))
     return _rounded(s.select("user_id", "interval", A.mean(x).alias("mean"), F.sqrt(A.variance(x)).alias("std"), A.slope(x).alias("slope")))
 
 
@@ -439,10 +462,9 @@ def q_rocket_ppv_max(spark, sf):
 # --- distances ---------------------------------------------------------------------------
 
 
-def _neighbours(spark, sf, points: int | None = None):
-    """Each series, or its first ``points`` where the SQL beside the query says so, beside that of the next user id: an equi-join, one pair a user."""
+def _neighbours(spark, sf):
+    """Each series beside that of the next user id: an equi-join, one pair a user."""
     s = _series(spark, sf)
-    s = s if points is None else s.withColumn("x", F.slice("x", 1, points))
     other = s.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("y"))
     return s.join(other, "user_id")
 
@@ -450,26 +472,79 @@ def _neighbours(spark, sf, points: int | None = None):
 _BESIDE = "with l as (select user_id, list(v order by t) as x from ts_long group by user_id)"
 
 
-@query("q_euclid", f"{_BESIDE} select a.user_id, round(list_distance(a.x[1:30], b.x[1:30]), 6) as d from l a join l b on b.user_id = a.user_id + 1")
+@query("q_euclid", f"{_BESIDE} select a.user_id, round(list_distance(a.x, b.x), 6) as d from l a join l b on b.user_id = a.user_id + 1")
 def q_euclid(spark, sf):
-    return _rounded(_neighbours(spark, sf, 30).select("user_id", D.euclidean(F.col("x"), F.col("y")).alias("d")))
+    return _rounded(_neighbours(spark, sf).select("user_id", D.euclidean(F.col("x"), F.col("y")).alias("d")))
 
 
-@query("q_minkowski", f"{_BESIDE} select a.user_id, round(list_sum(list_transform(list_zip(a.x[1:30], b.x[1:30]), lambda z: abs(z[1] - z[2]) ** 3)) ** (1e0 / 3), 6) as d from l a join l b on b.user_id = a.user_id + 1")
+@query("q_minkowski", f"{_BESIDE} select a.user_id, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]) ** 3)) ** (1e0 / 3), 6) as d from l a join l b on b.user_id = a.user_id + 1")
 def q_minkowski(spark, sf):
-    return _rounded(_neighbours(spark, sf, 30).select("user_id", D.minkowski(F.col("x"), F.col("y"), 3).alias("d")))
-
-
-def _elastic(name: str, **parameters):
-    @query(f"q_{name}")
+    return _rounded(_neighbours(spark, sf).select("user_id", D.minkowski(F.col("x"), F.col("y"), 3).alias("d")))
+
+
+#: One cell a step: k numbers the cells row by row, ``above`` is the last whole row and ``r`` the row so far.
+_CELLS = """with recursive l as (select user_id, list(v order by t) as s from ts_long group by user_id),
+  o as (select user_id, SERIES as s from l),
+  q as (select a.user_id, a.s as x, b.s as y, len(a.s) as n, len(b.s) as m from o a join o b on b.user_id = a.user_id + 1),
+  c as (select user_id, x, y, n, m, 0 as k, ROW0 as above, [COLUMN0(1)] as r from q
+    union all
+    select user_id, x, y, n, m, k + 1, if(j = m, list_append(r, v), above), if(j = m, [COLUMN0(i + 1)], list_append(r, v))
+    from (select *, WAYS as v from (select *, k // m + 1 as i, k % m + 1 as j, x[k // m + 1] as a, y[k % m + 1] as b, above[k % m + 1] as d, above[k % m + 2] as u, r[-1] as f,
+      if(k // m = 0, 0e0, x[k // m]) as pa, if(k % m = 0, 0e0, y[k % m]) as pb from c where k < n * m)))
+  select user_id, round(LAST, 6) as d from c where k = n * m"""
+_WALL = "list_concat([0e0], list_transform(range(m), lambda z: cast('infinity' as double)))"
+_NONE = "list_transform(range(m + 1), lambda z: 0e0)"
+_SPLIT = "if(({p} <= {v} and {v} <= {q}) or ({p} >= {v} and {v} >= {q}), 1e0, 1e0 + least(abs({v} - {p}), abs({v} - {q})))"
+_BAND = "if(abs(i / n - j / m) > 2e-1, cast('infinity' as double), {})"
+_SLOPE = "list_transform(range(2, len(s)), lambda z: ((s[z] - s[z - 1]) + (s[z + 1] - s[z - 1]) / 2) / 2)"
+_FAR = "cast('infinity' as double)"
+
+
+def _cells(ways: str, series: str = "s", row0: str = _WALL, column0: str = _FAR, last: str = "above[-1]") -> str:
+    return _CELLS.replace("WAYS", ways).replace("SERIES", series).replace("ROW0", row0).replace("COLUMN0(1)", column0.replace("@", "1")).replace("COLUMN0(i + 1)", column0.replace("@", "(i + 1)")).replace("LAST", last)
+
+
+_ELASTIC = {
+    "dtw": ({}, _cells(_BAND.format("(a - b) ** 2 + least(d, u, f)"))),
+    "ddtw": ({}, _cells(_BAND.format("(a - b) ** 2 + least(d, u, f)"), _SLOPE)),
+    "wdtw": ({}, _cells("(a - b) ** 2 / (1 + exp(-5e-2 * (abs(i - j) - n / 2e0))) + least(d, u, f)")),
+    "wddtw": ({}, _cells("(a - b) ** 2 / (1 + exp(-5e-2 * (abs(i - j) - n / 2e0))) + least(d, u, f)", _SLOPE)),
+    "adtw": ({}, _cells("(a - b) ** 2 + least(d, u + 1, f + 1)")),
+    "msm": ({}, _cells(f"least(d + abs(a - b), if(i = 1, {_FAR}, u + {_SPLIT.format(v='a', p='pa', q='b')}), if(j = 1, {_FAR}, f + {_SPLIT.format(v='b', p='a', q='pb')}))")),
+    "erp": ({}, _cells("least(d + abs(a - b), u + abs(a - 5e-2), f + abs(b - 5e-2))", row0="list_transform(range(m + 1), lambda z: coalesce(list_sum(list_transform(y[1:z], lambda w: abs(w - 5e-2))), 0e0))", column0="list_sum(list_transform(x[1:@], lambda w: abs(w - 5e-2)))")),
+    "lcss": ({}, _cells("if(abs(a - b) <= 1, d + 1, greatest(u, f))", row0=_NONE, column0="0e0", last="1 - above[-1] / least(n, m)")),
+    "edr": ({"epsilon": 10.0}, _cells("least(d + if(abs(a - b) <= 10, 0e0, 1e0), u + 1, f + 1)", row0=_NONE, column0="0e0", last="above[-1] / greatest(n, m)")),
+    "twe": ({}, _cells("least(d + abs(a - b) + abs(pa - pb) + 2e-3 * abs(i - j), u + abs(a - pa) + 1.001e0, f + abs(b - pb) + 1.001e0)")),
+    "soft_dtw": ({}, None),
+    "shape_dtw": ({"reach": 3}, None),
+}
+
+
+def _elastic(name: str, parameters: dict, sql: str | None):
+    @query(f"q_{name}", sql)
     def q(spark, sf):
         return _rounded(_neighbours(spark, sf).select("user_id", D.distance(name, F.col("x"), F.col("y"), **parameters).alias("d")))
 
     return q
 
 
-for _name, _more in (("dtw", {}), ("ddtw", {}), ("wdtw", {}), ("adtw", {}), ("msm", {}), ("erp", {}), ("lcss", {}), ("edr", {"epsilon": 10.0}), ("twe", {})):
-    _elastic(_name, **_more)
+for _name, (_parameters, _sql) in _ELASTIC.items():
+    _elastic(_name, _parameters, _sql)
+
+
+@query("q_warp_path")
+def q_warp_path(spark, sf):
+    return D.paths(_neighbours(spark, sf)).select("user_id", F.size("path").cast("long").alias("steps"))
+
+
+@query("q_erp_scale", "select round(sum(s), 4) as deviation from (select t, stddev_pop(v) as s from ts_long group by t)")
+def q_erp_scale(spark, sf):
+    return _rounded(D.column_deviation(_series(spark, sf)), 4)
+
+
+@query("q_warp_penalty")
+def q_warp_penalty(spark, sf):
+    return D.warp_penalty(_series(spark, sf), "user_id")
 
 
 @query(
@@ -479,12 +554,10 @@ for _name, _more in (("dtw", {}), ("ddtw", {}), ("wdtw", {}), ("adtw", {}), ("ms
     select vec_id, arg_min(label, (round(d, 9), other)) as y_pred from p group by vec_id""",
 )
 def q_1nn_ed(spark, sf):
-    """Queries, every tenth vector, against all others; the query set is joined in blocks of its own size."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("x", F.col("embedding").cast("array<double>"))
-    test = e.where("vec_id % 10 = 0").select("vec_id", "x")
-    train = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("other"), "label", F.col("x").alias("y"))
-    pairs = test.crossJoin(train).withColumn("d", F.round(D.squared(F.col("x"), F.col("y")), 9))
-    return pairs.groupBy("vec_id").agg(F.min_by("label", F.struct("d", "other")).alias("y_pred"))
+    """Queries, every tenth vector, against all others."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", F.col("label").alias("y_pred"))
+    out = nearest.nearest_label(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "vec_id", "embedding", "y_pred")
+    return out.withColumn("y_pred", F.col("y_pred").cast("int"))
 
 
 @query("q_shapelet_dist")
@@ -516,21 +589,8 @@ def q_hist_intersection(spark, sf):
     select round(max(gain), 6) as gain from i""",
 )
 def q_info_gain(spark, sf):
-    from pyspark.sql import Window
-
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.get("embedding", F.lit(0)).cast("double").alias("d"), (F.col("label") < 5).cast("int").alias("c"))
-    g = e.groupBy("d").agg(F.sum("c").cast("double").alias("c1"), F.count_if(F.col("c") == 0).cast("double").alias("c0"))
-    w, every = Window.orderBy("d"), Window.partitionBy()
-    s = g.select(F.sum("c1").over(w).alias("l1"), F.sum("c0").over(w).alias("l0"), F.sum("c1").over(every).alias("t1"), F.sum("c0").over(every).alias("t0"))
-
-    def entropy(a, b):
-        part = lambda x: F.when(x > 0, -x / (a + b) * F.log2(x / (a + b))).otherwise(0.0)
-        return part(a) + part(b)
-
-    l1, l0, t1, t0 = (F.col(c) for c in ("l1", "l0", "t1", "t0"))
-    n, left = t1 + t0, l1 + l0
-    gain = entropy(t1, t0) - left / n * entropy(l1, l0) - (n - left) / n * entropy(t1 - l1, t0 - l0)
-    return s.where(left < n).agg(F.round(F.max(gain), 6).alias("gain"))
+    return quality.information_gain(e, "d", "c").select(F.round("gain", 6).alias("gain"))
 
 
 @query(
@@ -540,29 +600,56 @@ def q_info_gain(spark, sf):
     select round((select g from p) - sum(m * g) / (select n from p), 6) as gini_gain from l""",
 )
 def q_gini_gain(spark, sf):
-    c = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_brand").alias("leaf"), (F.col("p_size") % 3).alias("label")).agg(F.count("*").cast("double").alias("n"))
-    gini = 1 - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
-    leaves = c.groupBy("leaf").agg(F.sum("n").alias("m"), gini.alias("g")).agg(F.sum(F.col("m") * F.col("g")).alias("inner"), F.sum("m").alias("n"))
-    parent = c.groupBy("label").agg(F.sum("n").alias("n")).agg(gini.alias("g"))
-    return leaves.crossJoin(parent).select(F.round(F.col("g") - F.col("inner") / F.col("n"), 6).alias("gini_gain"))
+    c = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("leaf"), (F.col("p_size") % 3).alias("label"))
+    return quality.gini_gain(c, "leaf", "label").select(F.round("gain", 6).alias("gini_gain"))
 
 
 @query("q_f_stat", "with e as (select label, cast(embedding[1] as double) as v from embeddings), g as (select label, count(*) as n, avg(v) as m, var_pop(v) * count(*) as s from e group by label), a as (select avg(v) as m, count(*) as n from e) select round((sum(g.n * (g.m - a.m) ** 2) / (count(*) - 1)) / (sum(g.s) / (max(a.n) - count(*))), 6) as f_stat from g, a")
 def q_f_stat(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    g = e.groupBy("label").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("s"))
-    a = e.agg(F.avg("v").alias("am"), F.count("*").alias("an"))
-    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("am"), 2)) / (F.count("*") - 1)
-    return g.crossJoin(a).agg(F.round(between / (F.sum("s") / (F.max("an") - F.count("*"))), 6).alias("f_stat"))
+    return quality.f_statistic(e, "v", "label").select(F.round("f_stat", 6).alias("f_stat"))
+
+
+_E1 = "e as (select label, vec_id, cast(embedding[1] as double) as v from embeddings)"
+
+
+@query("q_median_test", f"with {_E1}, m as (select median(v) as m from e), t as (select label, v > m as up, count(*) as n from e, m group by all), r as (select label, sum(n) as r from t group by label), c as (select up, sum(n) as c from t group by up), g as (select r.label, c.up, r, c, coalesce(t.n, 0) as n, sum(coalesce(t.n, 0)) over () as m from r cross join c left join t on t.label = r.label and t.up = c.up) select round(sum((n - r * c / cast(m as double)) ** 2 / (r * c / cast(m as double))), 6) as chi2 from g")
+def q_median_test(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return quality.median_test(e, "v", "label").select(F.round("chi2", 6).alias("chi2"))
+
+
+@query("q_kruskal_wallis", f"with {_E1}, r as (select label, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2e0 as rk, count(*) over () as m from e), g as (select label, count(*) as n, sum(rk) as s, max(m) as m from r group by label), ties as (select sum(n ** 3 - n) as t from (select count(*) as n from e group by v)) select round((12e0 / (max(m) * (max(m) + 1)) * sum(s * s / n) - 3 * (max(m) + 1)) / (1 - (select t from ties) / (max(m) ** 3 - max(m))), 5) as h from g")
+def q_kruskal_wallis(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return quality.kruskal_wallis(e, "v", "label").select(F.round("h", 5).alias("h"))
+
+
+@query("q_kolmogorov_smirnov", f"with {_E1}, r as (select v, sum(case when label < 5 then 1 else 0 end) as a, sum(case when label < 5 then 0 else 1 end) as b from e group by v), s as (select sum(a) over (order by v) / cast(sum(a) over () as double) as fa, sum(b) over (order by v) / cast(sum(b) over () as double) as fb from r) select round(max(abs(fa - fb)), 6) as ks from s")
+def q_kolmogorov_smirnov(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select((F.col("label") < 5).cast("int").alias("c"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return quality.two_samples(e, "v", "c").select(F.round("ks", 6).alias("ks"))
+
+
+@query("q_wasserstein", f"with {_E1}, r as (select v, sum(case when label < 5 then 1 else 0 end) as a, sum(case when label < 5 then 0 else 1 end) as b from e group by v), s as (select v, lead(v) over (order by v) as w, sum(a) over (order by v) / cast(sum(a) over () as double) as fa, sum(b) over (order by v) / cast(sum(b) over () as double) as fb from r), g as (select avg(v) filter (label < 5) as m1, avg(v) filter (label >= 5) as m2, stddev_pop(v) filter (label < 5) as s1, stddev_pop(v) filter (label >= 5) as s2 from e) select round(sum(abs(fa - fb) * (w - v)), 6) as empirical, (select round(sqrt((m1 - m2) ** 2 + (s1 - s2) ** 2), 6) from g) as gaussian from s where w is not null")
+def q_wasserstein(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select((F.col("label") < 5).cast("int").alias("c"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return _rounded(quality.two_samples(e, "v", "c").select("empirical", "gaussian"))
+
+
+@query("q_target_r2", f"with {_E1} select round(corr(v, vec_id) ** 2, 6) as r2 from e")
+def q_target_r2(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("double").alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return quality.r_squared(e, "v", "y").select(F.round("r2", 6).alias("r2"))
 
 
 # --- ensembles ---------------------------------------------------------------------------
 
 
-@query("q_hive_weighted", f"with {_FACTS} select c.dataset, c.resample, c.case_id, round(sum(f.value ** 4 * c.p1) / sum(f.value ** 4), 6) as p1 from (select * from clf_cases where case_id % 8 <> 0) c join f on f.estimator = c.estimator and f.dataset = c.dataset and f.resample = c.resample group by c.dataset, c.resample, c.case_id")
+@query("q_hive_weighted", f"with {_FACTS} select c.dataset, c.resample, c.case_id, round(sum(f.value ** 4 * c.p1) / sum(f.value ** 4), 6) as p1 from clf_cases c join f on f.estimator = c.estimator and f.dataset = c.dataset and f.resample = c.resample group by c.dataset, c.resample, c.case_id")
 def q_hive_weighted(spark, sf):
-    cases = view(spark, sf, "clf_cases").where("case_id % 8 <> 0")
-    acc = metrics.accuracy(view(spark, sf, "clf_cases"))
+    cases = view(spark, sf, "clf_cases")
+    acc = metrics.accuracy(cases)
     return _rounded(ensemble.weighted_vote(cases, acc).select("dataset", "resample", "case_id", "p1"))
 
 
@@ -581,7 +668,7 @@ def q_ivc(spark, sf):
 
 def _train_test(spark, sf):
     s = A.series(view(spark, sf, "fc_long"), ["series"])
-    return s.select("series", F.slice("x", 1, 24).alias("x"), F.slice("x", 25, 6).alias("y"))
+    return s.select("series", F.slice("x", F.lit(1), F.size("x") - 6).alias("x"), F.slice("x", F.size("x") - 5, F.lit(6)).alias("y"))
 
 
 def _forecast(spark, sf, make):
@@ -593,27 +680,27 @@ def _forecast(spark, sf, make):
 _H = "(select unnest(range(0, 6)) as h) g"
 
 
-@query("q_fc_naive", f"select series, h, round(arg_max(v, t), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
+@query("q_fc_naive", f"select series, h, round(arg_max(v, t), 6) as v from fc_long, {_H} where back >= 6 group by series, h")
 def q_fc_naive(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.naive(x, 6))
 
 
-@query("q_fc_mean", f"select series, h, round(avg(v), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
+@query("q_fc_mean", f"select series, h, round(avg(v), 6) as v from fc_long, {_H} where back >= 6 group by series, h")
 def q_fc_mean(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.mean_forecast(x, 6))
 
 
-@query("q_fc_drift", f"select series, h, round(arg_max(v, t) + (h + 1) * (arg_max(v, t) - arg_min(v, t)) / 23, 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
+@query("q_fc_drift", f"select series, h, round(arg_max(v, t) + (h + 1) * (arg_max(v, t) - arg_min(v, t)) / (count(*) - 1), 6) as v from fc_long, {_H} where back >= 6 group by series, h")
 def q_fc_drift(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.drift(x, 6))
 
 
-@query("q_fc_ses", f"select series, h, round(sum(case when t = 0 then v * 7e-1 ** 23 else v * 3e-1 * 7e-1 ** (23 - t) end), 6) as v from fc_long, {_H} where abs(t) < 24 group by series, h")
+@query("q_fc_ses", f"select series, h, round(sum(case when t = 0 then v * 7e-1 ** (back - 6) else v * 3e-1 * 7e-1 ** (back - 6) end), 6) as v from fc_long, {_H} where back >= 6 group by series, h")
 def q_fc_ses(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.ses(x, 6, 0.3))
 
 
-@query("q_fc_seasonal_naive", f"select f.series, h, round(f.v, 6) as v from {_H} join fc_long f on f.t = 17 + h % 7")
+@query("q_fc_seasonal_naive", f"select f.series, h, round(f.v, 6) as v from {_H} join fc_long f on f.back = 12 - h % 7")
 def q_fc_seasonal_naive(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.seasonal_naive(x, 6, 7))
 
@@ -624,7 +711,7 @@ def q_ets_grid(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.ets_grid(x, 6, grid))
 
 
-@query("q_fc_mape", "with p as (select series, arg_max(v, t) as f from fc_long where abs(t) < 24 group by series) select p.series, round(avg(abs(l.v - f) / greatest(abs(l.v), 2.220446049250313e-16)), 6) as mape from p join fc_long l on l.series = p.series and l.t between 24 and 29 group by p.series")
+@query("q_fc_mape", "with p as (select series, arg_max(v, t) as f from fc_long where back >= 6 group by series) select p.series, round(avg(abs(l.v - f) / greatest(abs(l.v), 2.220446049250313e-16)), 6) as mape from p join fc_long l on l.series = p.series and l.back < 6 group by p.series")
 def q_fc_mape(spark, sf):
     s = _train_test(spark, sf).select("series", F.explode(F.arrays_zip("y", forecast.naive(F.col("x"), 6).alias("f"))).alias("p"))
     cases = s.select("series", F.col("p.y").alias("y_true"), F.col("p.f").alias("y_pred")).where("y_true is not null")

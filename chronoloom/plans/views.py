@@ -13,7 +13,7 @@ VIEWS = {
     # Binary predictions of three estimators.
     "clf_cases": """
         with c as (
-          select l.l_orderkey * 8 + l.l_linenumber as case_id, o.o_orderpriority as dataset, l.l_linenumber % 3 as resample,
+          select ((l.l_orderkey * 8 + l.l_linenumber) * 1000003 + l.l_partkey) * 1009 + l.l_suppkey as case_id, o.o_orderpriority as dataset, l.l_linenumber % 3 as resample,
                  cast(l.l_returnflag = 'R' as int) as y_true, l.l_quantity, l.l_suppkey, l.l_partkey
           from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey),
         p as (
@@ -26,6 +26,16 @@ VIEWS = {
         select 'size' as estimator, o.o_orderpriority as dataset, 'test' as split, l.l_linenumber % 3 as resample,
                case l.l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as y_true, cast(l.l_partkey % 3 as int) as y_pred
         from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey""",
+    # Three classes with probabilities that sum to 1.
+    "clf3p_cases": """
+        with c as (
+          select ((l.l_orderkey * 8 + l.l_linenumber) * 1000003 + l.l_partkey) * 1009 + l.l_suppkey as case_id, o.o_orderpriority as dataset, l.l_linenumber % 3 as resample,
+                 case l.l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as y_true, 1e0 + l.l_quantity as a, 1e0 + l.l_suppkey % 37 as b, 1e0 + l.l_partkey % 41 as c
+          from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey),
+        p as (select 'weights' as estimator, case_id, dataset, resample, y_true, a / (a + b + c) as p0, b / (a + b + c) as p1, c / (a + b + c) as p2 from c
+          union all select 'squares', case_id, dataset, resample, y_true, a * a / (a * a + b * b + c * c), b * b / (a * a + b * b + c * c), c * c / (a * a + b * b + c * c) from c)
+        select estimator, dataset, 'test' as split, resample, case_id, y_true, p0, p1, p2,
+               case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as y_pred from p""",
     "reg_cases": """
         with c as (
           select p.p_type as dataset, l.l_linenumber % 3 as resample, l.l_extendedprice as y_true, l.l_quantity, p.p_retailprice
@@ -50,7 +60,7 @@ VIEWS = {
         select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t, value as v from {events}""",
     "fc_long": """
         with s as (select event_type as series, cast(ts as date) as d, sum(value) as v from {events} group by event_type, cast(ts as date))
-        select series, row_number() over (partition by series order by d) - 1 as t, v from s""",
+        select series, row_number() over (partition by series order by d) - 1 as t, row_number() over (partition by series order by d desc) - 1 as back, v from s""",
     "runs_time": """
         select o_orderkey as run, o_totalprice as fit, case o_orderpriority when '1-URGENT' then 'seconds' when '2-HIGH' then 'milliseconds'
           when '3-MEDIUM' then 'minutes' when '4-NOT SPECIFIED' then 'nanoseconds' else 'hours' end as unit from {orders}""",
@@ -70,6 +80,8 @@ def duck(body: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", body)]
     parts = [f"{n} as materialized ({VIEWS[n].replace('{', '').replace('}', '')})" for n in used]
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join([*parts, body[15:]])
     if body.lower().startswith("with "):
         return "with " + ", ".join([*parts, body[5:]])
     return ("with " + ", ".join(parts) + " " if parts else "") + body

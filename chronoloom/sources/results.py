@@ -26,6 +26,16 @@ FIGURES = {
 }
 
 
+#: Milliseconds in each unit of time (fixed values).
+UNITS = {"nanoseconds": 1e-6, "microseconds": 1e-3, "milliseconds": 1.0, "seconds": 1e3, "minutes": 6e4, "hours": 3.6e6, "days": 8.64e7}
+
+
+def to_milliseconds(value: Column, unit: Column) -> Column:
+    """Time in milliseconds; an unknown unit is an error."""
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for p in UNITS.items() for x in p]), F.lower(F.trim(unit)))
+    return value * F.when(scale.isNull(), F.raise_error(F.concat(F.lit("unknown time unit "), unit))).otherwise(scale)
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, lines): the lines of each file, without carriage returns and a last empty line."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

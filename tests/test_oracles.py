@@ -64,7 +64,7 @@ def test_elastic_on_whole_series(spark, duck):
 
 
 @pytest.mark.parametrize("metric", [metrics.log_loss, metrics.auroc])
-def test_three_labels_are_refused(spark, metric):
+def test_third_label_needs_probabilities(spark, metric):
     rows = [("a", y, p) for y, p in ((0, 0.2), (1, 0.7), (2, 0.4))] + [("b", 0, 0.2), ("b", 1, 0.7)]
     cases = spark.createDataFrame(rows, "g string, y_true int, p1 double")
     assert metric(cases.where("g = 'b'"), ["g"]).count() == 1
