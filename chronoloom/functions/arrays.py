@@ -197,3 +197,77 @@ def word(x: Column, segments: int, letters: int) -> Column:
 
     places = F.sequence(F.lit(0), F.lit(segments - 1))
     return let(znorm(x), lambda z: F.aggregate(places, F.lit(0).cast("long"), lambda w, k: w * letters + letter(z, k)))
+
+
+def noisy_pad(x: Column, length: Column | int, seed: Column, noise: float = 0.1) -> Column:
+    """Pad with zeros and add small numbers, within ``noise`` of 0 and fixed by ``seed`` and place, to the padded points."""
+    full = pad(x, length)
+    small = lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(2000001)) / 1000000.0 - 1) * noise
+    return F.transform(full, lambda v, i: F.when(i < F.size(x), v).otherwise(v + small(i)))
+
+
+def concat_channels(*channels: Column, length: Column | int | None = None) -> Column:
+    """The channels of a case end to end, each filled up to ``length`` with zeros if given."""
+    return F.concat(*[c if length is None else pad(c, length) for c in channels])
+
+
+def unequal(x: Column, seed: Column, share: float = 0.8, least: float = 0.2, how: str = "end") -> Column:
+    """Of a ``share`` of cases, fixed by ``seed``, only from ``least`` to all of the length: cut at the ``start`` or ``end``, a ``random`` stretch, or ``resize``d by interpolation."""
+    u = lambda k: F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(1000000)) / 1000000.0
+    n = F.size(x)
+    m = F.greatest(F.ceil(n * (least + (1 - least) * u(1))).cast("int"), F.lit(1))
+    starts = {"end": F.lit(1), "start": n - m + 1, "random": 1 + F.floor((n - m + 1) * u(2)).cast("int")}
+    if how == "resize":
+        at = lambda i: i * (n - 1) / F.greatest(m - 1, F.lit(1))
+        point = lambda p, k: F.get(x, k) + (p - k) * (F.coalesce(F.get(x, k + 1), F.get(x, k)) - F.get(x, k))
+        short = F.transform(F.sequence(F.lit(0), m - 1), lambda i: point(at(i), F.floor(at(i)).cast("int")))
+    elif how in starts:
+        short = F.slice(x, starts[how], m)
+    else:
+        raise ValueError(f"unknown way {how!r}")
+    return F.when(u(0) < share, short).otherwise(x)
+
+
+def chain(*steps):
+    """One transform of a Column out of several, applied in order."""
+
+    def run(x: Column) -> Column:
+        for step in steps:
+            x = step(x)
+        return x
+
+    return run
+
+
+#: Series transforms by name.
+TRANSFORMS = {"normaliser": znorm, "derivative": derivative, "difference": diff, "padder": pad, "low-noise-padder": noisy_pad}
+
+
+def transform(name: str):
+    """A series transform by name, without regard to case; an unknown name is an error."""
+    found = TRANSFORMS.get(name.lower())
+    if found is None:
+        raise ValueError(f"unknown transform {name!r}")
+    return found
+
+
+def random_intervals(n_points: int, n: int, least: int = 3, seed: int = 0) -> list[tuple[int, int]]:
+    """Up to ``n`` distinct intervals (start, end) of at least ``least`` points, drawn by a seeded generator; repeats are pruned."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    out = {}
+    for _ in range(n):
+        size = int(rng.integers(min(least, n_points), n_points + 1))
+        start = int(rng.integers(0, n_points - size + 1))
+        out[start, start + size] = None
+    return list(out)
+
+
+def interval_features(x: Column, intervals: list[tuple[int, int]]) -> Column:
+    """Array of mean, deviation, slope, median, least and greatest value of each interval, in order."""
+    out = []
+    for a, b in intervals:
+        s = F.slice(x, a + 1, b - a)
+        out += [mean(s), F.sqrt(variance(s)), slope(s), median(s), F.array_min(s), F.array_max(s)]
+    return F.array(*out)

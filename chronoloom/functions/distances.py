@@ -55,6 +55,7 @@ def programme(x: np.ndarray, y: np.ndarray, rule: Callable[[Cells], np.ndarray],
     older, old = np.full((pairs, n + 1), INF), np.full((pairs, n + 1), INF)
     older[:, 0] = row0[:, 0]
     old[:, 0], old[:, 1] = row0[:, 1] if m else INF, column0[:, 1] if n else INF
+    spare = np.full((pairs, n + 1), INF)
     lost = np.zeros(pairs, bool)
     full = np.full((pairs, n + 1, m + 1), INF) if table else None
     if table:
@@ -63,7 +64,9 @@ def programme(x: np.ndarray, y: np.ndarray, rule: Callable[[Cells], np.ndarray],
         lo, hi = max(1, s - m), min(n, s - 1)
         i = np.arange(lo, hi + 1)
         yy = slice(m - s + lo, m - s + hi + 1)
-        now = np.full((pairs, n + 1), INF)
+        now = spare  # its cells are of three diagonals ago
+        now[:, : lo + 1] = INF
+        now[:, hi + 1 :] = INF
         cells = Cells(i, s - i, x[:, lo - 1 : hi], back[:, yy], xb[:, lo - 1 : hi], back_before[:, yy], older[:, lo - 1 : hi], old[:, lo - 1 : hi], old[:, lo : hi + 1], n, m)
         value = rule(cells)
         if allowed is not None:
@@ -77,7 +80,7 @@ def programme(x: np.ndarray, y: np.ndarray, rule: Callable[[Cells], np.ndarray],
             full[:, i, s - i] = value
         if abandon < INF:
             lost |= np.minimum(now.min(axis=1), old.min(axis=1)) > abandon
-        older, old = old, now
+        older, old, spare = old, now, older
     out = old[:, n] if n and m else np.full(pairs, INF)
     out = np.where(lost, INF, out)
     return (out, full) if table else out
@@ -110,7 +113,8 @@ def parallelogram(slope: float, n: int, m: int):
 
 def _dtw(x, y, window=1.0, p=2.0, penalty=0.0, weight=None, itakura=None, abandon=INF, table=False):
     def rule(c):
-        cost = np.abs(c.a - c.b) ** p
+        d = c.a - c.b
+        cost = d * d if p == 2 else np.abs(d) ** p
         cost = cost if weight is None else cost * weight(np.abs(c.i - c.j), c.n)
         return cost + np.minimum(c.diagonal, np.minimum(c.up, c.left) + penalty)
 

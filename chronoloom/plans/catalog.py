@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.functions import arrays as A
+from chronoloom.functions import catch22 as C
 from chronoloom.functions import distances as D
+from chronoloom.functions import kernels, spectral
 from chronoloom.operators import ensemble, evaluate, forecast, metrics, nearest, quality, resample
 from chronoloom.plans.views import duck, view
 from chronoloom.sources import results
@@ -459,6 +461,78 @@ def q_rocket_ppv_max(spark, sf):
     return _rounded(_series(spark, sf).select("user_id", ppv.alias("ppv"), top.alias("top")))
 
 
+@query("q_catch22")
+def q_catch22(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x")).alias("f")).select("user_id", "f.*"), 5)
+
+
+@query("q_forecast_error", "select user_id, round(stddev_samp(e), 6) as forecast_error from (select user_id, t, v - avg(v) over (partition by user_id order by t rows between 3 preceding and 1 preceding) as e from ts_long) where t >= 3 group by user_id")
+def q_forecast_error(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x")).alias("f")).select("user_id", "f.forecast_error"))
+
+
+@query("q_ami2", "with b as (select user_id, t, least(floor((v - lo) / ((hi - lo) / 5)), 4) as a from (select user_id, t, v, min(v) over w - 1e-1 as lo, max(v) over w + 1e-1 as hi from ts_long window w as (partition by user_id))), p as (select user_id, a, lead(a, 2) over (partition by user_id order by t) as b from b), h as (select user_id, a, b, count(*) as n from p where b is not null group by all), s as (select *, sum(n) over (partition by user_id, a) as na, sum(n) over (partition by user_id, b) as nb, sum(n) over (partition by user_id) as m from h) select user_id, round(sum(n / m * ln(n * m / (na * nb))), 6) as ami2 from s group by user_id")
+def q_ami2(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x")).alias("f")).select("user_id", "f.ami2"))
+
+
+_DFT = "with n as (select user_id, max(t) + 1 as n, avg(v) as m from ts_long group by user_id), p as (select user_id, m, cast(2 ** ceil(log2(n)) as bigint) as w from n), k as (select *, unnest(range(0, w // 2)) as f from p) select k.user_id, k.f, round(sqrt(sum(VALUE * cos(2 * pi() * k.f * t / w)) ** 2 + sum(VALUE * sin(2 * pi() * k.f * t / w)) ** 2), 5) as v from k join ts_long s on s.user_id = k.user_id group by k.user_id, k.f"
+
+
+def _frequencies(df):
+    return df.select("user_id", F.posexplode("v").alias("f", "v")).select("user_id", F.col("f").cast("long").alias("f"), F.round("v", 5).alias("v"))
+
+
+@query("q_power_spectrum", _DFT.replace("VALUE", "s.v"))
+def q_power_spectrum(spark, sf):
+    return _frequencies(_series(spark, sf).select("user_id", spectral.power_spectrum(F.col("x")).alias("v")))
+
+
+@query("q_periodogram", _DFT.replace("VALUE", "(s.v - k.m)"))
+def q_periodogram(spark, sf):
+    return _frequencies(_series(spark, sf).select("user_id", spectral.periodogram(F.col("x")).alias("v")))
+
+
+@query("q_sfa_words")
+def q_sfa_words(spark, sf):
+    return spectral.sfa(_series(spark, sf), "user_id", 8, 4, 4)
+
+
+@query("q_sfa_dilated")
+def q_sfa_dilated(spark, sf):
+    return spectral.sfa(_series(spark, sf), "user_id", 6, 4, 2, "equi-width", dilation=3, difference=True, bigrams=True)
+
+
+@query("q_kernel_features")
+def q_kernel_features(spark, sf):
+    f = kernels.kernel_features(_series(spark, sf), "user_id", features=168)
+    return f.select("user_id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query("q_r_clustering")
+def q_r_clustering(spark, sf):
+    return kernels.r_cluster(_series(spark, sf), "user_id", 3, features=168)
+
+
+@query("q_random_intervals")
+def q_random_intervals(spark, sf):
+    return _rounded(_series(spark, sf).select("user_id", F.posexplode(A.interval_features(F.col("x"), A.random_intervals(30, 6, seed=1))).alias("place", "v")))
+
+
+@query("q_low_noise_pad", "with n as (select user_id, count(*) as n from ragged_long group by user_id), m as (select max(n) as m from n) select user_id, (select m from m) as size, n as kept from n")
+def q_low_noise_pad(spark, sf):
+    s = A.series(view(spark, sf, "ragged_long"), ["user_id"])
+    p = s.crossJoin(s.agg(F.max(F.size("x")).alias("m"))).select("user_id", "x", A.noisy_pad(F.col("x"), F.col("m"), F.col("user_id")).alias("p"))
+    kept = F.size(F.filter("p", lambda v, i: (i < F.size("x")) | (F.abs(v) > 0.1))).cast("long")
+    return p.select("user_id", F.size("p").cast("long").alias("size"), kept.alias("kept"))
+
+
+@query("q_unequal")
+def q_unequal(spark, sf):
+    s = _series(spark, sf)
+    return s.select("user_id", *[F.size(A.unequal(F.col("x"), F.col("user_id"), how=h)).alias(h) for h in ("start", "end", "random", "resize")])
+
+
 # --- distances ---------------------------------------------------------------------------
 
 
