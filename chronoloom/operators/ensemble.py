@@ -59,35 +59,150 @@ def simple_vote(aligned: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
-def iterative_vote(labels: DataFrame, k: int, case: str = "case_id", rounds: int = 500) -> DataFrame:
-    """K-modes over label vectors by Hamming distance, from the first k distinct vectors in order.
+def vote(cases: DataFrame, weights: DataFrame, seed: int = 0, keys: tuple = ("dataset", "split", "resample", "case_id")) -> DataFrame:
+    """(keys, probs, y_true, y_pred): members' class probabilities, weighted and scaled to sum 1; the greatest wins, a tie falls by a seeded hash of the case.
 
-    ``labels`` holds (case, estimator, y_pred). Vectors are folded to distinct ones first, of
-    which there are few; the loop runs over those and their counts on one task.
+    ``cases`` holds ``probs`` of equal length, ``weights`` (estimator, dataset, resample, w).
     """
-    from chronoloom.session import ship
+    both = cases.join(weights.select("estimator", "dataset", "resample", "w"), ["estimator", "dataset", "resample"])
+    each = both.select(*keys, "y_true", "w", F.posexplode("probs").alias("label", "p"))
+    s = each.groupBy(*keys, "label").agg(F.sum(F.col("w") * F.col("p")).alias("s"), F.first("y_true").alias("y_true"))
+    rows = s.groupBy(*keys).agg(F.first("y_true").alias("y_true"), F.transform(F.array_sort(F.collect_list(F.struct("label", "s"))), lambda v: v["s"]).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda t, v: t + v)
+    rows = rows.withColumn("probs", F.when(total > 0, F.transform("s", lambda v: v / total)).otherwise(F.transform("s", lambda v: 1.0 / F.size("s"))))
+    best = F.filter(F.sequence(F.lit(0), F.size("probs") - 1), lambda i: F.get("probs", i) == F.array_max("probs"))
+    pick = F.get(best, F.pmod(F.xxhash64(F.lit(seed), *keys), F.size(best)).cast("int"))
+    return rows.select(*keys, "probs", "y_true", pick.alias("y_pred"))
+
+
+def member_weights(accuracies: DataFrame, alpha: float = 4.0, new_weights: dict[str, float] | None = None, share_of_best: float | None = None) -> DataFrame:
+    """(estimator, dataset, resample, w): accuracy to the power ``alpha``, or the weights given by name; members under a share of the best are left out."""
+    kept = accuracies if share_of_best is None else filter_members(accuracies, share_of_best)
+    w = F.pow("accuracy", F.lit(float(alpha)))
+    if new_weights:
+        given = F.try_element_at(F.create_map(*[F.lit(x) for p in new_weights.items() for x in p]), F.col("estimator"))
+        w = F.coalesce(given, w)
+    return kept.select("estimator", "dataset", "resample", w.alias("w"))
+
+
+def tune_alpha(train: DataFrame, alphas: tuple = tuple(range(1, 10)), k: int = 10) -> DataFrame:
+    """(dataset, resample, alpha): the power whose weighted vote does best over ``k`` stratified folds of the train cases, the least at a tie.
+
+    A fold's weights come from the members' accuracies on the other folds. ``train`` holds
+    (estimator, dataset, resample, case_id, probs, y_true, y_pred).
+    """
+    from chronoloom.operators.resample import folds
+
+    group = ["dataset", "resample"]
+    one = train.groupBy(*group, "case_id").agg(F.first("y_true").alias("y_true"))
+    one = one.withColumn("__group", F.concat_ws("|", *group, F.col("y_true").cast("string")))
+    dealt = folds(one, "case_id", k, 0, "__group").select(*group, "case_id", "fold")
+    d = train.join(dealt, [*group, "case_id"]).withColumn("ok", (F.col("y_true") == F.col("y_pred")).cast("double"))
+    member = d.groupBy(*group, "estimator", "fold").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
+    every = Window.partitionBy(*group, "estimator")
+    outside = (F.sum("ok").over(every) - F.col("ok")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))
+    member = member.select(*group, "estimator", "fold", F.coalesce(outside, F.lit(0.0)).alias("accuracy"))
+    each = d.join(member, [*group, "estimator", "fold"]).withColumn("alpha", F.explode(F.array(*[F.lit(int(a)) for a in alphas])))
+    s = each.select(*group, "alpha", "case_id", "y_true", F.pow("accuracy", F.col("alpha")).alias("w"), F.posexplode("probs").alias("label", "p"))
+    s = s.groupBy(*group, "alpha", "case_id", "y_true", "label").agg(F.sum(F.col("w") * F.col("p")).alias("s"))
+    pred = s.groupBy(*group, "alpha", "case_id", "y_true").agg(F.max_by("label", F.struct(F.round("s", 12), -F.col("label"))).alias("y_pred"))
+    score = pred.groupBy(*group, "alpha").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("score"))
+    return score.groupBy(*group).agg(F.max_by("alpha", F.struct(F.round("score", 12), -F.col("alpha"))).alias("alpha"))
+
+
+def hive_from_files(test: DataFrame, train: DataFrame, alpha: float | None = 4.0, share_of_best: float | None = None, new_weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """The weighted vote of members whose test and train cases were read from results files; ``alpha`` None tunes it on the train cases."""
+    acc = train.groupBy("estimator", "dataset", "resample").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
+    if alpha is None:
+        kept = acc if share_of_best is None else filter_members(acc, share_of_best)
+        w = kept.join(tune_alpha(train), ["dataset", "resample"]).select("estimator", "dataset", "resample", F.pow("accuracy", F.col("alpha")).alias("w"))
+    else:
+        w = member_weights(acc, alpha, new_weights, share_of_best)
+    return vote(test, w, seed)
+
+
+def check_clusters(cases: DataFrame, k: int) -> None:
+    """An error unless every member has the labels 0 .. k - 1, all of them."""
+    bad = cases.groupBy("estimator").agg(F.count_distinct("y_pred").alias("n"), F.min("y_pred").alias("low"), F.max("y_pred").alias("high")).where((F.col("n") != k) | (F.col("low") != 0) | (F.col("high") != k - 1))
+    if row := bad.first():
+        raise ValueError(f"{row.estimator} has not the labels 0 to {k - 1}")
+
+
+def simple_vote_from_files(cases: DataFrame, k: int, reference: str | None = None) -> DataFrame:
+    """The simple vote of clusterers whose cases were read from results files of one dataset, split and resample."""
+    check_clusters(cases, k)
+    d = cases.withColumn("y_pred", F.col("y_pred").cast("int"))
+    return simple_vote(align(d, reference or d.agg(F.min("estimator")).first()[0]))
+
+
+def iterative_vote_from_files(cases: DataFrame, k: int, start: str = "plus", seed: int = 0) -> DataFrame:
+    """Iterative voting over clusterers whose cases were read from results files."""
+    return iterative_vote(cases.withColumn("y_pred", F.col("y_pred").cast("int")), k, start=start, seed=seed)
+
+
+def _first_centres(distinct: DataFrame, k: int, start: str, seed: int, sample: int) -> list[list[int]]:
+    """k vectors to start from, out of ``sample`` distinct ones with the least hash.
+
+    plus: each next one drawn with a chance in proportion to the squared distance from the
+    chosen; random: any; aligned: modes of the clusters of the first member.
+    """
+    import numpy as np
 
-    ship(labels.sparkSession)
+    held = distinct.orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(sample).collect()
+    x, n = np.array([r.v for r in held]), np.array([r.n for r in held], float)
+    if not len(x):
+        return []
+    rng = np.random.default_rng(seed)
+    if start == "aligned":
+        out = []
+        for c in np.unique(x[:, 0])[:k]:
+            own = x[:, 0] == c
+            out.append([int(np.bincount(x[own, d], n[own]).argmax()) for d in range(x.shape[1])])
+        return out
+    if start == "random":
+        return x[rng.choice(len(x), min(k, len(x)), replace=False, p=n / n.sum())].tolist()
+    if start != "plus":
+        raise ValueError(f"unknown start {start!r}")
+    at = [int(rng.choice(len(x), p=n / n.sum()))]
+    while len(at) < min(k, len(x)):
+        d = n * (x[:, None] != x[at][None]).sum(axis=2).min(axis=1) ** 2.0
+        if not d.sum():
+            break
+        at.append(int(rng.choice(len(x), p=d / d.sum())))
+    return x[at].tolist()
+
+
+def iterative_vote(labels: DataFrame, k: int, case: str = "case_id", rounds: int = 500, start: str = "plus", seed: int = 0, sample: int = 2000) -> DataFrame:
+    """(case, y_pred): k-modes over label vectors by Hamming distance, until no vector moves.
+
+    ``labels`` holds (case, estimator, y_pred). Vectors fold to distinct ones with their counts.
+    A round is a map over these against k centres, the only rows on the driver, and one
+    aggregate of the label counts by cluster and member. A centre that is empty or equals an
+    earlier one takes the vector farthest from its own.
+    """
     vector = labels.groupBy(case).agg(F.transform(F.array_sort(F.collect_list(F.struct("estimator", "y_pred"))), lambda p: p["y_pred"]).alias("v"))
     distinct = vector.groupBy("v").agg(F.count("*").alias("n"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        part = part.sort_values("v", key=lambda s: s.map(lambda v: tuple(v))).reset_index(drop=True)
-        x, n = np.array([list(v) for v in part["v"]]), part["n"].to_numpy()
-        centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
-        owner = None
-        for _ in range(rounds):
-            new = (x[:, None, :] != centres[None]).sum(axis=2).argmin(axis=1)
-            if owner is not None and (new == owner).all():
-                break
-            owner = new
-            for c in range(len(centres)):
-                own = owner == c
-                if own.any():
-                    centres[c] = [np.bincount(x[own, d], n[own]).argmax() for d in range(x.shape[1])]
-        return pd.DataFrame({"v": [list(v) for v in x.astype("int32")], "y_pred": owner.astype("int32")})
-
-    placed = distinct.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "v array<int>, y_pred int")
-    return vector.join(placed, "v").select(case, "y_pred")
+    centres = _first_centres(distinct, k, start, seed, sample)
+
+    def placed(c):
+        far = F.array(*[F.struct(F.size(F.filter(F.zip_with("v", F.array(*[F.lit(int(x)) for x in row]), lambda a, b: a != b), lambda t: t)).alias("d"), F.lit(i).alias("c")) for i, row in enumerate(c)])
+        return distinct.select("v", "n", F.array_min(far).alias("m")).select("v", "n", F.col("m.c").alias("c"), F.col("m.d").alias("d"))
+
+    for _ in range(rounds if centres else 0):
+        p = placed(centres)
+        modes = p.select("c", "n", F.posexplode("v").alias("at", "y")).groupBy("c", "at", "y").agg(F.sum("n").alias("n"))
+        modes = modes.groupBy("c", "at").agg(F.max_by("y", F.struct(F.col("n"), -F.col("y"))).alias("y")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "y"))), lambda q: q["y"]).alias("v"))
+        found = {r.c: list(r.v) for r in modes.collect()}
+        new, lost = [], []
+        for i in range(len(centres)):
+            row = found.get(i)
+            (new.append(row) if row is not None and row not in new else lost.append(i))
+        if lost:
+            far = [list(r.v) for r in p.orderBy(F.col("d").desc(), "v").limit(len(centres)).collect()]
+            new += [v for v in far if v not in new][: len(lost)]
+        if sorted(new) == sorted(centres):
+            break
+        centres = new
+    if not centres:
+        return vector.select(case, F.lit(None).cast("int").alias("y_pred"))
+    return vector.join(placed(sorted(centres)).select("v", F.col("c").alias("y_pred")), "v").select(case, "y_pred")

@@ -58,3 +58,13 @@ def ets_grid(x: Column, horizon: int, grid: list[tuple[float, float, float]]) ->
     """Forecast of the (alpha, beta, phi) of ``grid`` with the least summed squared one-step error, the first at a tie."""
     fits = F.array(*[F.struct(_state(x, *p)["sse"].alias("sse"), F.lit(i).alias("i"), holt(x, horizon, *p).alias("f")) for i, p in enumerate(grid)])
     return F.array_min(fits)["f"]
+
+
+def ets(x: Column, horizon: int, error: str = "additive", trend: str | None = None, season: str | None = None, period: int = 1, alpha: float = 0.1, beta: float = 0.01, gamma: float = 0.01, phi: float = 0.99) -> Column:
+    """Exponential smoothing with an additive or multiplicative error, trend and season, each trend damped by ``phi``.
+
+    Without data for a whole season (or two points for a trend) the forecast is null.
+    """
+    from chronoloom.operators.smoothing import smooth
+
+    return smooth(x, horizon, error, trend, season, period, alpha, beta, gamma, phi)["forecast"]

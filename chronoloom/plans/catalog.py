@@ -727,6 +727,27 @@ def q_hive_weighted(spark, sf):
     return _rounded(ensemble.weighted_vote(cases, acc).select("dataset", "resample", "case_id", "p1"))
 
 
+_PROBS = "clf3p_cases"
+_ACC3 = f"f3 as (select {K}, avg(case when y_true = y_pred then 1e0 else 0e0 end) as value from clf3p_cases group by {K})"
+
+
+@query("q_hive_multi", f"with {_ACC3}, v as (select c.dataset, c.resample, c.case_id, sum(w * p0) as s0, sum(w * p1) as s1, sum(w * p2) as s2 from (select *, f3.value ** 4 as w from clf3p_cases c join f3 using ({K})) c group by all) select dataset, resample, case_id, round(s0 / (s0 + s1 + s2), 6) as p0, round(s1 / (s0 + s1 + s2), 6) as p1, round(s2 / (s0 + s1 + s2), 6) as p2 from v")
+def q_hive_multi(spark, sf):
+    c = view(spark, sf, "clf3p_cases").withColumn("probs", F.array("p0", "p1", "p2"))
+    v = ensemble.hive_from_files(c, c)
+    return _rounded(v.select("dataset", "resample", "case_id", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)]))
+
+
+@query("q_hive_tuned")
+def q_hive_tuned(spark, sf):
+    return ensemble.tune_alpha(view(spark, sf, "clf3p_cases").withColumn("probs", F.array("p0", "p1", "p2")))
+
+
+@query("q_acc_filter", f"with {_ACC3}, b as (select *, max(value) over (partition by dataset, resample) as best from f3) select estimator, dataset, resample, round(value ** 4, 6) as w from b where value >= best * 9.9e-1")
+def q_acc_filter(spark, sf):
+    return _rounded(ensemble.member_weights(metrics.accuracy(view(spark, sf, "clf3p_cases")), 4.0, share_of_best=0.99))
+
+
 @query("q_simple_vote")
 def q_simple_vote(spark, sf):
     return _rounded(ensemble.simple_vote(ensemble.align(view(spark, sf, "clu_cases"), "head")))
@@ -779,6 +800,11 @@ def q_fc_seasonal_naive(spark, sf):
     return _forecast(spark, sf, lambda x: forecast.seasonal_naive(x, 6, 7))
 
 
+@query("q_ets")
+def q_ets(spark, sf):
+    return _forecast(spark, sf, lambda x: forecast.ets(x, 6, trend="additive", season="additive", period=7))
+
+
 @query("q_ets_grid")
 def q_ets_grid(spark, sf):
     grid = [(a, b, p) for a in (0.1, 0.5, 0.9) for b in (0.0, 0.1) for p in (0.9, 1.0)]

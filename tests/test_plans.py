@@ -57,3 +57,41 @@ def test_streaming(spark, tmp_path):
     q = running_accuracy(stream).writeStream.format("memory").queryName("acc").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.accuracy for r in spark.table("acc").collect()) == [0.5, 1.0]
+
+
+def sines(spark):
+    rows = [("d", i, [float(i % 2) * 3 + (i * 7 % 5) / 10 + k % 3 for k in range(16)], float(i % 2), i < 20) for i in range(40)]
+    return spark.createDataFrame(rows, "dataset string, case_id long, x array<double>, y double, train boolean")
+
+
+@pytest.mark.parametrize(("task", "names"), [
+    ("classification", ["1NN-DTW", "MiniROCKET", "catch22", "Summary", "TSF"]), ("regression", ["RocketRegressor", "5NN-msm", "TimeSeriesForestRegressor"]), ("clustering", ["KMeans-ED", "PAM-msm"]),
+])
+def test_named_models(spark, tmp_path, task, names):
+    rows = experiment.run(sines(spark), names, 1, task, train_estimate=True)
+    runs, cases = experiment.as_results(rows, task)
+    got = runs.select("estimator", "split", "headline").collect()
+    assert len(got) == 2 * len(names)
+    assert all(r.headline < 0.2 if task == "regression" else r.headline > 0.9 for r in got), got
+    experiment.save(rows, task, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").rglob("part-*"))) == 2 * len(names)
+
+
+def test_load_and_run(spark, tmp_path):
+    (tmp_path / "D").mkdir()
+    for part, n in (("TRAIN", 20), ("TEST", 10)):
+        lines = [",".join(str((i % 2) * 3 + (i * 7 % 5) / 10 + k % 3) for k in range(12)) + (":b" if i % 2 else ":a") for i in range(n)]
+        (tmp_path / "D" / f"D_{part}.ts").write_text("@data\n" + "\n".join(lines) + "\n")
+    rows = experiment.load_and_run(spark, str(tmp_path), "D", ["1NN-ED"], str(tmp_path / "out"), 1).collect()
+    assert len(rows) == 10 and all(r.y_true == r.y_pred and r.resample == 1 for r in rows)
+
+
+def test_forecast_runs(spark):
+    train = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0])], "dataset string, x array<double>")
+    test = spark.createDataFrame([("a", [5.0, 6.0])], "dataset string, x array<double>")
+    got = {(r.estimator, r.case_id): r.y_pred for r in experiment.run_forecasts(train, test, ["Naive", "drift", "ETS"]).collect()}
+    assert got["Naive", 1] == 4.0 and got["drift", 1] == 6.0 and 1 <= got["ETS", 0] <= 4
+    with pytest.raises(ValueError):
+        experiment.forecaster("nobody")
+    assert experiment.machine_speed(2, 100) > 0
+    assert experiment.scalability(spark, ["1NN-ED"], sizes=2, loops=1).count() == 2
