@@ -135,6 +135,11 @@ def _starts(index: DataFrame, ranked: list[list[tuple[int, int]]], depth: int =
     return found.select(*_KEY, "w", "start").distinct()
 
 
+def _small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` short rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _windows(items: list[tuple[str, bytes]], window: int) -> tuple[list[tuple[int, ...]], list[list[str]]]:
     """The distinct windows of a block of items, and the items that hold each."""
     found: dict[tuple, set] = {}
@@ -160,10 +165,9 @@ def matches(index: DataFrame, items: list[tuple[str, bytes]], window: int = WIND
     asked, holders, ranked = ([x[i] for i in live] for x in (asked, holders, ranked))
     shared = spark.sparkContext.broadcast((asked, holders))
     found = materialize(_starts(index, ranked), "starts")
-    texts = found.select(*_KEY).distinct()
+    texts = _small(found.select(*_KEY).distinct())
     every = F.broadcast(spark.createDataFrame(sorted({(t,) for a in asked for t in a}), "term bigint"))
-    lists = index.join(texts, _KEY, "left_semi")
-    lists = lists.join(every, "term", "left_semi").unionByName(lists.where("term is null"))
+    lists = index.join(every, "term", "left_semi").select(*index.columns).unionByName(index.where("term is null")).join(texts, _KEY, "left_semi")
     rows = lists.select(*_KEY, "term", "n", "places", F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("start"))
     none = F.lit(None)
     rows = rows.unionByName(found.select(*_KEY, none.cast("bigint").alias("term"), none.cast("int").alias("n"), none.cast("array<int>").alias("places"), "w", "start"))
@@ -218,11 +222,6 @@ def _all_matches(index: DataFrame, benchmark: DataFrame, item_bytes: int) -> Dat
 _MADE = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
 
 
-def _small(df: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """Marked for broadcast if it has at most ``most`` short rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, text: str = "text", item_bytes: int = ITEM_BYTES, only_clean: bool = False) -> DataFrame:
     """Every row of ``docs`` with the words that windows of test items cover.
 
@@ -248,7 +247,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] |
         return lambda texts: {"__words": [int(len(word_hashes(t.translate(_TABLE))[0])) for t in texts]}
 
     d = map_texts(docs.withColumns(named), [*kept, *named], "__words bigint", factory, text)
-    f = _small(found.withColumnsRenamed({"k1": "__f1", "k2": "__f2", **{c: f"__m_{c}" for c in _MADE[1:]}}))
+    f = found.withColumnsRenamed({"k1": "__f1", "k2": "__f2", **{c: f"__m_{c}" for c in _MADE[1:]}})
     both = d.join(f, same(d, f), "left")
     none = {"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:int,end:int>>"), "contaminated": F.lit(False)}
     return both.select(*kept, F.col("__words").alias("n_words"), *[F.coalesce(f"__m_{c}", v).alias(c) for c, v in none.items()])
