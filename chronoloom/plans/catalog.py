@@ -516,7 +516,9 @@ def q_r_clustering(spark, sf):
 
 @query("q_random_intervals")
 def q_random_intervals(spark, sf):
-    return _rounded(_series(spark, sf).select("user_id", F.posexplode(A.interval_features(F.col("x"), A.random_intervals(30, 6, seed=1))).alias("place", "v")))
+    s = _series(spark, sf)
+    longest = s.agg(F.max(F.size("x"))).first()[0] or 0
+    return _rounded(s.select("user_id", F.posexplode(A.interval_features(F.col("x"), A.random_intervals(longest, 6, seed=1))).alias("place", "v")))
 
 
 @query("q_low_noise_pad", "with n as (select user_id, count(*) as n from ragged_long group by user_id), m as (select max(n) as m from n) select user_id, (select m from m) as size, n as kept from n")
@@ -727,7 +729,6 @@ def q_hive_weighted(spark, sf):
     return _rounded(ensemble.weighted_vote(cases, acc).select("dataset", "resample", "case_id", "p1"))
 
 
-_PROBS = "clf3p_cases"
 _ACC3 = f"f3 as (select {K}, avg(case when y_true = y_pred then 1e0 else 0e0 end) as value from clf3p_cases group by {K})"
 
 
