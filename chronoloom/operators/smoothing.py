@@ -33,22 +33,21 @@ def fit(x: np.ndarray, error="additive", trend=None, season=None, period=1, alph
         slope = 0.0
     terms = (first - level if season == "additive" else first / level if season else np.zeros(m)).astype(float)
     errors, fits = np.zeros(len(x)), np.zeros(len(x))
-    for t in range(m if season else 0, len(x)):
+    for t in range(m, len(x)):  # the first season is in the start
         move = slope * phi if trend == "additive" else slope**phi if trend else 0.0
         base = level + move if trend != "multiplicative" else level * move
         s = terms[t % m] if season else 0.0
         fits[t] = base + s if season != "multiplicative" else base * s
         e = x[t] - fits[t]
         errors[t] = e if error == "additive" else e / fits[t]
-        absolute = e
-        pull = absolute if season != "multiplicative" else absolute / (s or 1.0)
+        pull = e if season != "multiplicative" else e / (s or 1.0)
         new = base + alpha * pull
         if trend == "additive":
             slope = move + beta * pull
         elif trend:
             slope = move + beta * pull / level
         if season:
-            terms[t % m] = s + gamma * (absolute if season == "additive" else absolute / base)
+            terms[t % m] = s + gamma * (e if season == "additive" else e / base)
         level = new
     return level, slope, terms, errors, fits
 
@@ -83,7 +82,7 @@ def smooth(x: Column, horizon: int, error="additive", trend=None, season=None, p
         for v in s:
             v = np.asarray(v, float)
             state = fit(v, error, trend, season, period, alpha, beta, gamma, phi)
-            start = period if season else 0
+            start = period if season else 1
             rows.append((None, None, None) if state is None else (
                 forecast(state, len(v), horizon, trend, season, period, phi), float((((v - state[4])[start:]) ** 2).mean()) if len(v) > start else None, likelihood(state[3][start:], state[4][start:], error),
             ))
