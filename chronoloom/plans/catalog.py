@@ -732,11 +732,11 @@ def q_hive_weighted(spark, sf):
 _ACC3 = f"f3 as (select {K}, avg(case when y_true = y_pred then 1e0 else 0e0 end) as value from clf3p_cases group by {K})"
 
 
-@query("q_hive_multi", f"with {_ACC3}, v as (select c.dataset, c.resample, c.case_id, sum(w * p0) as s0, sum(w * p1) as s1, sum(w * p2) as s2 from (select *, f3.value ** 4 as w from clf3p_cases c join f3 using ({K})) c group by all) select dataset, resample, case_id, round(round(s0 / (s0 + s1 + s2), 9), 6) as p0, round(round(s1 / (s0 + s1 + s2), 9), 6) as p1, round(round(s2 / (s0 + s1 + s2), 9), 6) as p2 from v")
+@query("q_hive_multi", f"with {_ACC3}, v as (select c.dataset, c.resample, c.case_id, sum(w * p0) as s0, sum(w * p1) as s1, sum(w * p2) as s2 from (select *, f3.value ** 4 as w from clf3p_cases c join f3 using ({K})) c group by all) select dataset, resample, case_id, round(s0 / (s0 + s1 + s2) + 1e-9, 6) as p0, round(s1 / (s0 + s1 + s2) + 1e-9, 6) as p1, round(s2 / (s0 + s1 + s2) + 1e-9, 6) as p2 from v")
 def q_hive_multi(spark, sf):
     c = view(spark, sf, "clf3p_cases").withColumn("probs", F.array("p0", "p1", "p2"))
     v = ensemble.hive_from_files(c, c)
-    return _rounded(v.select("dataset", "resample", "case_id", *[F.round(F.get("probs", F.lit(i)), 9).alias(f"p{i}") for i in range(3)]))
+    return _rounded(v.select("dataset", "resample", "case_id", *[(F.get("probs", F.lit(i)) + 1e-9).alias(f"p{i}") for i in range(3)]))
 
 
 @query("q_hive_tuned")
