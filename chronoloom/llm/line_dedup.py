@@ -36,19 +36,6 @@ WIDER = (40, 160)
 _SIGNS = ["sign", "s1", "s2", "s3"]
 
 
-class _Words(dict):
-    """word -> value, remembered up to a fixed number of words."""
-
-    def __init__(self, make, most: int = 500_000):
-        self.make, self.most = make, most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.make(word)
-        return out
-
-
 def words(line: bytes) -> list[bytes]:
     """Words of a line: A-Z lowered, split at ASCII white space."""
     return line.lower().split()
