@@ -101,11 +101,11 @@ def load(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFr
     return r, cases(r)
 
 
-def validate(files: DataFrame) -> DataFrame:
+def validate(files: DataFrame, n_cases: int | None = None) -> DataFrame:
     """(path, ok): five fields on line 1, a second line, a known line 3, and every case line well-formed.
 
     A case line has numbers (or ? as label), a blank third field, and probabilities that
-    sum to 1 within 1e-5 where the task has them.
+    sum to 1 within 1e-5 where the task has them. With ``n_cases`` there are just as many case lines.
     """
     r = runs(files)
     k = F.coalesce(F.when(F.col("task") == "classification", F.col("n_classes")).when(F.col("task") == "clustering", F.col("n_clusters")), F.lit(0))
@@ -119,7 +119,8 @@ def validate(files: DataFrame) -> DataFrame:
 
     body = F.slice("lines", F.lit(4), F.greatest(F.size("lines") - 3, F.lit(0)))
     head = (F.size(F.split(F.get("lines", F.lit(0)), ",")) >= 5) & (F.size("lines") >= 3) & F.col("task").isNotNull()
-    return r.select("path", F.coalesce(head & F.forall(body, good), F.lit(False)).alias("ok"))
+    many = F.lit(True) if n_cases is None else F.size(body) == n_cases
+    return r.select("path", F.coalesce(head & many & F.forall(body, good), F.lit(False)).alias("ok"))
 
 
 def repair(files: DataFrame) -> DataFrame:

@@ -41,6 +41,7 @@ def test_validate_and_repair(spark, files):
     f = results.read_files(spark, f"{files}/*.csv")
     ok = {name_of(r.path): r.ok for r in results.validate(f).collect()}
     assert ok == {"good.csv": True, "reg.csv": True, "sum.csv": False, "broken.csv": False, **({"empty.csv": False} if "empty.csv" in ok else {})}
+    assert {name_of(r.path) for r in results.validate(f, n_cases=3).collect() if r.ok} == {"good.csv"}
     fixed = {name_of(r.path): r.ok for r in results.validate(results.repair(f)).collect()}
     assert fixed["broken.csv"] and not fixed["sum.csv"]
 
