@@ -160,16 +160,19 @@ def slope(x: Column) -> Column:
 
 
 def rocket(x: Column, weights: list[float], bias: float, dilation: int = 1, padding: int = 0) -> tuple[Column, Column]:
-    """Share of positive values, and maximum, of the convolution with one kernel; null if the series is too short."""
+    """Share of positive values, and maximum, of the convolution with one kernel; null if the series is too short.
+
+    A value that lies on 0 falls by the order of its sum: the products from the left, then the bias.
+    """
     p = F.concat(F.array_repeat(F.lit(0.0), padding), x, F.array_repeat(F.lit(0.0), padding))
     last = F.size(p) - (len(weights) - 1) * dilation - 1
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
     def at(i):
-        out = F.lit(float(bias))
-        for k, w in enumerate(weights):
+        out = F.lit(float(weights[0])) * F.get(p, i)
+        for k, w in enumerate(weights[1:], 1):
             out = out + F.lit(float(w)) * F.get(p, i + k * dilation)
-        return out
+        return out + F.lit(float(bias))
 
     conv = F.transform(places, at)
     return let(conv, lambda c: mean(F.transform(c, lambda v: F.when(v > 0, 1.0).otherwise(0.0)))), F.array_max(conv)

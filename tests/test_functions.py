@@ -154,3 +154,14 @@ def test_folds_and_resample(spark):
     assert resample.fold_count(df, "label") == 10
     with pytest.raises(ValueError):
         resample.fold_count(df.where("id = 1"), "label")
+
+
+def test_rocket_on_its_limit(spark):
+    """A convolution that is 0 up to rounding is summed as written: products from the left, then the bias."""
+    rows = [(i, [a, 0.0, b, 0.0, -a + 2 * b - 10]) for i, (a, b) in enumerate((k * 0.37, k * 0.61 + 7.1) for k in range(200))]
+    s = spark.createDataFrame(rows, "k long, x array<double>")
+    ppv, top = A.rocket(F.col("x"), [-1.0, 2.0, -1.0], -10.0, dilation=2)
+    got = {r.k: (r.ppv, r.top) for r in s.select("k", ppv.alias("ppv"), top.alias("top")).collect()}
+    for k, x in rows:
+        c = -1 * x[0] + 2 * x[2] - x[4] - 10
+        assert got[k] == (float(c > 0), c)
