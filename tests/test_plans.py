@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from chronoloom.plans import experiment
+from chronoloom.plans.views import view
 from chronoloom.streaming.metrics import running_accuracy
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -95,3 +96,15 @@ def test_forecast_runs(spark):
         experiment.forecaster("nobody")
     assert experiment.machine_speed(2, 100) > 0
     assert experiment.scalability(spark, ["1NN-ED"], sizes=2, loops=1).count() == 2
+
+
+def test_daily_sums_in_order_of_events(spark, tmp_path):
+    """Daily sums are the same to the last bit, however files and tasks hold the events."""
+    rows = [(i, f"2024-01-0{1 + i % 3} 05:00:00", u, 0.1 * (i + 1) * (u + 1)) for u in range(4) for i in range(24)]
+    events = spark.createDataFrame([(u * 24 + i, t, u, v) for i, t, u, v in rows], "event_id long, t string, user_id long, value double").selectExpr("event_id", "cast(t as timestamp) as ts", "user_id", "value", "'a' as event_type")
+    want = {}
+    for i, t, u, v in rows:
+        want[u, int(t[9]) - 1] = want.get((u, int(t[9]) - 1), 0.0) + v
+    for name, dealt in (("back", events.orderBy(F.desc("event_id")).coalesce(1)), ("apart", events.repartition(5))):
+        dealt.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert {(r.user_id, r.t): r.v for r in view(spark, f"{tmp_path}/{name}", "ts_long").collect()} == want
