@@ -165,3 +165,25 @@ def test_tuning():
     x = np.concatenate([np.sin(np.arange(12) + RND.normal(scale=0.1, size=(8, 1))), RND.normal(scale=0.1, size=(8, 12)) + 3])
     p, score = models.tune(x, "msm", 2)
     assert set(p) == {"c"} and 0 < score < 1 and models.davies_bouldin(x, np.zeros(16), "dtw") == math.inf
+
+
+def outliers_by_threshold(x):
+    """One threshold at a time, as the definition says."""
+    steps = int(x.max() / 0.01) + 1
+    medians, share, far = np.zeros(steps), np.zeros(steps), steps - 1
+    for k in range(steps):
+        at = np.flatnonzero(x >= k * 0.01) + 1
+        if len(at):
+            medians[k], share[k] = np.median(at) / (len(x) / 2) - 1, (len(at) - 1) * 100 / (x >= 0).sum()
+        if len(at) == 1:
+            far = steps - 1 - k
+    busy = np.flatnonzero(share > 2)
+    return np.median(medians[: max(int(busy[-1]) if len(busy) else 0, far) + 1])
+
+
+def test_outliers_do_not_count_thresholds():
+    for k in range(60):
+        x = np.round(RND.normal(size=8 + k) * 10.0 ** (k % 3 - 1), 2 + k % 2)
+        assert catch22._outliers(x) == outliers_by_threshold(x)
+    wide = np.array([3e9, 0, 0, 8e9, 1e9, 0, 2e9])  # 8e11 thresholds
+    assert catch22._outliers(wide) == pytest.approx(catch22._outliers(wide / 1e6), abs=1e-3)
