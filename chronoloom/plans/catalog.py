@@ -473,7 +473,7 @@ def q_forecast_error(spark, sf):
 
 @query("q_ami2", "with b as (select user_id, t, least(floor((v - lo) / ((hi - lo) / 5)), 4) as a from (select user_id, t, v, min(v) over w - 1e-1 as lo, max(v) over w + 1e-1 as hi from ts_long window w as (partition by user_id))), p as (select user_id, a, lead(a, 2) over (partition by user_id order by t) as b from b), h as (select user_id, a, b, count(*) as n from p where b is not null group by all), s as (select *, sum(n) over (partition by user_id, a) as na, sum(n) over (partition by user_id, b) as nb, sum(n) over (partition by user_id) as m from h) select user_id, round(sum(n / m * ln(n * m / (na * nb))), 6) as ami2 from s group by user_id")
 def q_ami2(spark, sf):
-    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x")).alias("f")).select("user_id", "f.ami2"))
+    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x"), names=("ami2",)).alias("f")).select("user_id", "f.ami2"))
 
 
 _DFT = "with n as (select user_id, max(t) + 1 as n, avg(v) as m from ts_long group by user_id), p as (select user_id, m, cast(2 ** ceil(log2(n)) as bigint) as w from n), k as (select *, unnest(range(0, w // 2)) as f from p) select k.user_id, k.f, round(sqrt(sum(VALUE * cos(2 * pi() * k.f * t / w)) ** 2 + sum(VALUE * sin(2 * pi() * k.f * t / w)) ** 2), 5) as v from k join ts_long s on s.user_id = k.user_id group by k.user_id, k.f"

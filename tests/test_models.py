@@ -187,3 +187,13 @@ def test_outliers_do_not_count_thresholds():
         assert catch22._outliers(x) == outliers_by_threshold(x)
     wide = np.array([3e9, 0, 0, 8e9, 1e9, 0, 2e9])  # 8e11 thresholds
     assert catch22._outliers(wide) == pytest.approx(catch22._outliers(wide / 1e6), abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["ami2", "forecast_error"])
+def test_one_feature_alone(spark, name, monkeypatch):
+    x = RND.normal(size=40)
+    want = catch22.features(x)[name]
+    for other in ("_outliers", "_mutual_scale", "_period", "_pairs"):
+        monkeypatch.setattr(catch22, other, None)  # calling it is an error
+    assert catch22.features(x, names=(name,)) == {name: want}
+    assert spark.createDataFrame([(x.tolist(),)], "x array<double>").select(catch22.catch22(F.col("x"), names=(name,)).alias("f")).first().f.asDict() == {name: pytest.approx(want)}
