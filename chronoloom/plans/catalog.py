@@ -468,7 +468,7 @@ def q_catch22(spark, sf):
 
 @query("q_forecast_error", "select user_id, round(stddev_samp(e), 6) as forecast_error from (select user_id, t, v - avg(v) over (partition by user_id order by t rows between 3 preceding and 1 preceding) as e from ts_long) where t >= 3 group by user_id")
 def q_forecast_error(spark, sf):
-    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x")).alias("f")).select("user_id", "f.forecast_error"))
+    return _rounded(_series(spark, sf).select("user_id", C.catch22(F.col("x"), names=("forecast_error",)).alias("f")).select("user_id", "f.forecast_error"))
 
 
 @query("q_ami2", "with b as (select user_id, t, least(floor((v - lo) / ((hi - lo) / 5)), 4) as a from (select user_id, t, v, min(v) over w - 1e-1 as lo, max(v) over w + 1e-1 as hi from ts_long window w as (partition by user_id))), p as (select user_id, a, lead(a, 2) over (partition by user_id order by t) as b from b), h as (select user_id, a, b, count(*) as n from p where b is not null group by all), s as (select *, sum(n) over (partition by user_id, a) as na, sum(n) over (partition by user_id, b) as nb, sum(n) over (partition by user_id) as m from h) select user_id, round(sum(n / m * ln(n * m / (na * nb))), 6) as ami2 from s group by user_id")
