@@ -91,23 +91,35 @@ def tune_alpha(train: DataFrame, alphas: tuple = tuple(range(1, 10)), k: int = 1
     A fold's weights come from the members' accuracies on the other folds. ``train`` holds
     (estimator, dataset, resample, case_id, probs, y_true, y_pred).
     """
-    from chronoloom.operators.resample import folds
+    from chronoloom.operators.resample import order_bin, order_key
 
     group = ["dataset", "resample"]
-    one = train.groupBy(*group, "case_id").agg(F.first("y_true").alias("y_true"))
-    one = one.withColumn("__group", F.concat_ws("|", *group, F.col("y_true").cast("string")))
-    dealt = folds(one, "case_id", k, 0, "__group").select(*group, "case_id", "fold")
-    d = train.join(dealt, [*group, "case_id"]).withColumn("ok", (F.col("y_true") == F.col("y_pred")).cast("double"))
-    member = d.groupBy(*group, "estimator", "fold").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
+    # One shuffle of the train rows: bins of the hash order hold whole cases, and all that follows is inside a bin or has few rows.
+    d = train.withColumn("ok", (F.col("y_true") == F.col("y_pred")).cast("double")).withColumn("bin", order_bin("case_id"))
+    d = d.select(*group, "bin", "case_id", F.struct("estimator", "ok", "y_true", "probs").alias("m")).repartition(*group, "bin")
+    one = d.groupBy(*group, "bin", "case_id").agg(F.sort_array(F.collect_list("m")).alias("members"))
+    one = one.withColumn("y_true", F.array_min(F.transform("members", lambda m: m["y_true"])))
+    before = Window.partitionBy(*group, "y_true").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = one.groupBy(*group, "bin", "y_true").agg(F.count("*").alias("n")).select(*group, "bin", "y_true", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    sizes = sizes.where("y_true is not null").groupBy(*group, "bin").agg(F.map_from_entries(F.collect_list(F.struct("y_true", "n"))).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*group, "bin", "y_true").orderBy(order_key("case_id"), "case_id")) - 1
+    dealt = one.join(sizes, [*group, "bin"]).withColumn("fold", ((F.try_element_at("before", "y_true") + place) % k).cast("int"))
+    member = dealt.select(*group, "fold", F.explode("members").alias("m")).groupBy(*group, "m.estimator", "fold").agg(F.sum("m.ok").alias("ok"), F.count("*").alias("n"))
     every = Window.partitionBy(*group, "estimator")
     outside = (F.sum("ok").over(every) - F.col("ok")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))
-    member = member.select(*group, "estimator", "fold", F.coalesce(outside, F.lit(0.0)).alias("accuracy"))
-    each = d.join(member, [*group, "estimator", "fold"]).withColumn("alpha", F.explode(F.array(*[F.lit(int(a)) for a in alphas])))
-    s = each.select(*group, "alpha", "case_id", "y_true", F.pow("accuracy", F.col("alpha")).alias("w"), F.posexplode("probs").alias("label", "p"))
-    s = s.groupBy(*group, "alpha", "case_id", "y_true", "label").agg(F.sum(F.col("w") * F.col("p")).alias("s"))
-    pred = s.groupBy(*group, "alpha", "case_id", "y_true").agg(F.max_by("label", F.struct(F.round("s", 12), -F.col("label"))).alias("y_pred"))
-    score = pred.groupBy(*group, "alpha").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("score"))
-    return score.groupBy(*group).agg(F.max_by("alpha", F.struct(F.round("score", 12), -F.col("alpha"))).alias("alpha"))
+    powers = F.array(*[F.pow(F.coalesce(outside, F.lit(0.0)), F.lit(int(a))) for a in alphas])
+    weights = member.select(*group, "fold", "estimator", powers.alias("w")).groupBy(*group, "fold").agg(F.map_from_entries(F.collect_list(F.struct("estimator", "w"))).alias("w"))
+    each = dealt.join(F.broadcast(weights), [*group, "fold"]).select(*group, "y_true", F.transform("members", lambda m: F.struct(m["probs"].alias("p"), F.try_element_at("w", m["estimator"]).alias("w"))).alias("v"))
+    each = each.withColumn("labels", F.array_max(F.transform("v", lambda m: F.size(m["p"])))).where("labels > 0")
+
+    def right(i: int):
+        score = lambda label: F.aggregate("v", F.lit(0.0), lambda t, m: t + F.coalesce(F.get(m["w"], F.lit(i)) * F.get(m["p"], label), F.lit(0.0)))
+        best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("labels") - 1), lambda label: F.struct(F.round(score(label), 12).alias("s"), (-label).alias("l"))))
+        return F.avg((-best["l"] == F.col("y_true")).cast("double"))
+
+    score = each.groupBy(*group).agg(*[right(i).alias(f"s{i}") for i in range(len(alphas))])
+    best = F.array_max(F.array(*[F.struct(F.round(f"s{i}", 12).alias("s"), F.lit(-int(a)).alias("a")) for i, a in enumerate(alphas)]))
+    return score.select(*group, (-best["a"]).alias("alpha"))
 
 
 def hive_from_files(test: DataFrame, train: DataFrame, alpha: float | None = 4.0, share_of_best: float | None = None, new_weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:

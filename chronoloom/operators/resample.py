@@ -22,10 +22,15 @@ def order_key(key: str, seed: int = 0) -> Column:
     return (a % 4294967296 * 69069 + 12345) % 4294967296
 
 
+def order_bin(key: str, seed: int = 0) -> Column:
+    """The bin of a key in the hash order; all rows of a key are in one."""
+    return F.floor(order_key(key, seed) / (1 << _BIN_BITS))
+
+
 def _place(cases: DataFrame, key: str, seed: int, label: str | None = None) -> DataFrame:
     """Add ``position``, the place from 1 in hash order, within each label if given."""
     h = order_key(key, seed)
-    return position(cases, [h, key], F.floor(h / (1 << _BIN_BITS)), [label] if label else None)
+    return position(cases, [h, key], order_bin(key, seed), [label] if label else None)
 
 
 def resample(cases: DataFrame, key: str, n_train: int, seed: int = 0) -> DataFrame:

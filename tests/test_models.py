@@ -197,3 +197,14 @@ def test_one_feature_alone(spark, name, monkeypatch):
         monkeypatch.setattr(catch22, other, None)  # calling it is an error
     assert catch22.features(x, names=(name,)) == {name: want}
     assert spark.createDataFrame([(x.tolist(),)], "x array<double>").select(catch22.catch22(F.col("x"), names=(name,)).alias("f")).first().f.asDict() == {name: pytest.approx(want)}
+
+
+def test_tuning_shuffles_cases_once(spark):
+    """Votes of all powers are counted inside a case: no shuffle holds a row for each case, power and label."""
+    rnd = random.Random(4)
+    rows = [(e, "d", i % 2, i, y, p, [0.6 if c == p else 0.2 for c in range(3)]) for i in range(300) for y in [rnd.randrange(3)] for e, share in (("a", 0.5), ("b", 0.6), ("c", 0.9)) for p in [y if rnd.random() < share else rnd.randrange(3)]]
+    train = spark.createDataFrame(rows, "estimator string, dataset string, resample int, case_id long, y_true int, y_pred int, probs array<double>")
+    tuned = ensemble.tune_alpha(train)
+    shuffles = [x for x in tuned._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("case_id" in x or "alpha" in x for x in shuffles)
+    assert {r.resample for r in tuned.collect()} == {0, 1} and all(1 <= r.alpha <= 9 for r in tuned.collect())
