@@ -170,6 +170,15 @@ def test_passages_against_brute_force(spark):
     assert 2 in {b for b, _ in want} and len(want) > 100 and len(lost) <= 0.02 * len(want)
 
 
+def test_passage_links_to_every_earlier_text(spark):
+    """Five texts that are all near one another, none a copy: each is linked to all before it, not to the nearest alone."""
+    rnd = random.Random(21)
+    base = prose(rnd, 50)
+    docs = {1: base, 2: edited(rnd, base, [0]), 3: edited(rnd, base, [49]), 4: edited(rnd, base, [1]), 5: edited(rnd, base, [48])}
+    rows, _ = passages_of(spark, docs)
+    assert {(r.match_id, r.doc_id) for r in rows} == {(a, b) for b in docs for a in docs if a < b}
+
+
 def simhash_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
