@@ -7,10 +7,11 @@ sketch of fixed size over all texts; two similar sets then share a word among th
 few (prefix filter), their sizes lie within 4/5 of each other (length filter), and the
 places of the shared word leave room for the overlap (positional filter). A parity
 signature of each set bounds the size of the symmetric difference from below and prunes
-most of the rest. Of the earlier lines that pass, the likeliest is verified on the words
-themselves; the others are looked at only where it fails, so a line gives one pair and not
-all. A word shared by very many prefixes is replaced by pairs, triples and quadruples of a
-set's first shared words.
+most of the rest. A word's group is compared in the memory of one task. Of the earlier lines
+that pass, the likeliest is verified on the words themselves; the next ones are looked at
+only where it fails, and whole groups are read again only for lines with more than a few
+candidates under a word. A word shared by very many prefixes is replaced by pairs, triples
+and quadruples of a set's first shared words.
 """
 
 from __future__ import annotations
@@ -28,9 +29,17 @@ from chronoloom.session import ship
 
 #: Counters of the sketch, and counters in one row of it.
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
-#: Sets sharing a key that are compared in pairs; more go to longer keys.
-MOST_PAIRED = 1000
+#: Sets sharing a key that one task compares in pairs; more go to longer keys.
+MOST_PAIRED = 1 << 16
 LEVELS = 4
+#: Lines with their words on either side of a cell.
+MOST_HELD = 1000
+#: Earlier lines that a line lists under a key; where more pass, the group may be read again.
+MOST_LISTED = 8
+#: Groups of at most this many rows are compared side by side, larger ones a row at a time.
+SMALL_GROUP = 64
+#: Rows that a task packs at once for the shuffle.
+PACKED = 1 << 18
 #: Words of a line above which its signature has 128 bits, and 256, in place of 64.
 WIDER = (40, 160)
 _SIGNS = ["sign", "s1", "s2", "s3"]
@@ -183,6 +192,72 @@ def line_sets(docs: DataFrame, classes: np.ndarray, key: str, text: str) -> Data
 #: A row of a key's group: where the line is, its size, the key's place in it and its signature.
 _ROW = ["key", "doc", "line", "n", "i", *_SIGNS]
 _LIKELY = "doc bigint, line int, others boolean, far int, a_doc bigint, a_line int"
+_TYPES = {"key": np.int64, "doc": np.int64, "line": np.int32, "n": np.int32, "i": np.int32} | dict.fromkeys(_SIGNS, np.int64)
+
+
+def _pack(columns: dict[str, np.ndarray]) -> bytes:
+    """Rows in order of key as bytes: differences of keys, then the other columns, each with its bytes side by side."""
+    parts = [np.diff(x, prepend=np.int64(0)) if c == "key" else x for c, x in columns.items()]
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts)
+    return len(parts[0]).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> dict[str, np.ndarray]:
+    """The columns that ``_pack`` was given."""
+    rows, at, out = int.from_bytes(data[:4], "little"), 0, {}
+    raw = pa.decompress(data[4:], rows * sum(np.dtype(t).itemsize for t in _TYPES.values()), "zstd", asbytes=True)
+    for c, t in _TYPES.items():
+        width = np.dtype(t).itemsize
+        x = np.frombuffer(raw, np.uint8, rows * width, at).reshape(width, rows)
+        out[c] = np.ascontiguousarray(x.T).view(t).ravel()
+        at += rows * width
+    out["key"] = np.cumsum(out["key"])
+    return out
+
+
+def _grouped(rows: DataFrame, settle, kind: str) -> DataFrame:
+    """``settle(table)`` of whole groups of equal key in order of (key, doc, line); the rows are shuffled in packed columns."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches):
+        def flush(held):
+            t = pa.Table.from_batches(held)
+            columns = {c: t.column(c).to_numpy() for c in _ROW}
+            with np.errstate(over="ignore"):
+                part = ((columns["key"].view(np.uint64) * np.uint64(_BASE)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.lexsort((columns["key"], part))
+            columns, part = {c: x[order] for c, x in columns.items()}, part[order]
+            edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            blobs = [_pack({c: x[a:b] for c, x in columns.items()}) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= PACKED:
+                yield flush(held)
+                held, count = [], 0
+        if count:
+            yield flush(held)
+
+    def run(batches):
+        found = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if not found:
+            return
+        columns = {c: np.concatenate([x[c] for x in found]) for c in _ROW}
+        del found
+        order = np.lexsort((columns["line"], columns["doc"], columns["key"]))
+        columns = {c: x[order] for c, x in columns.items()}
+        first = np.concatenate([np.flatnonzero(np.diff(columns["key"], prepend=columns["key"][0] - 1)), [len(order)]])
+        begin = 0
+        while begin < len(order):
+            end = int(first[min(np.searchsorted(first, begin + PACKED // 4), len(first) - 1)])
+            yield settle(pa.table({c: x[begin:end] for c, x in columns.items()}))
+            begin = end
+
+    packed = rows.select(*_ROW).mapInArrow(pack, "part int, rows binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, kind)
 
 
 def _passing(n, i, signs, a, b, level) -> tuple[np.ndarray, np.ndarray]:
@@ -197,24 +272,66 @@ def _passing(n, i, signs, a, b, level) -> tuple[np.ndarray, np.ndarray]:
     return ok & (9 * far <= total), far
 
 
+def _maybe(n, sign, before: slice, b: int) -> np.ndarray:
+    """Indices of ``before`` that may pass with row b: a test of 64 bits, or of the lengths where these say nothing."""
+    if n[b] <= 128:  # n[a] is at most 5 / 4 of n[b], so the bound is at most n[b] / 4
+        ok = np.bitwise_count(sign[before] ^ sign[b]) <= n[b] // 4
+    else:
+        ok = (5 * n[before] >= 4 * n[b]) & (4 * n[before] <= 5 * n[b])
+    return before.start + np.flatnonzero(ok)
+
+
 def _nearest(t: pa.Table, level: int) -> pa.RecordBatch:
-    """For every row with an earlier one of its key that passes: the nearest by signature, and whether others pass; rows are in order of (key, doc, line)."""
+    """Pairs (b, a) of every row b with earlier rows a of its key that pass: the ``MOST_LISTED`` nearest by signature, and whether there are others; rows are in order of (key, doc, line)."""
     key, doc, line, n, i, *signs = (t.column(c).to_numpy() for c in _ROW)
-    best, found = np.full(len(key), np.iinfo(np.int64).max), np.zeros(len(key), np.int32)
-    live = np.arange(len(key))
-    for k in range(1, len(key)):
-        live = live[live + k < len(key)]
-        live = live[key[live] == key[live + k]]
+    sign = signs[0].view(np.uint64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    size = np.diff(edge)
+    end = np.repeat(edge[1:], size)
+    out = [[np.zeros(0, np.int64)] * 3]
+    more = np.zeros(len(key), bool)
+
+    def passing(a, b):
+        ok, far = _passing(n, i, signs, a, b, level)
+        ok &= (doc[a] != doc[b]) | (line[a] != line[b])
+        return a[ok], b[ok], far[ok]
+
+    live = np.flatnonzero(np.repeat(size <= SMALL_GROUP, size))
+    for k in range(1, SMALL_GROUP):
+        live = live[live + k < end[live]]
         if not len(live):
             break
-        ok, far = _passing(n, i, signs, live, live + k, level)
-        ok &= (doc[live] != doc[live + k]) | (line[live] != line[live + k])
-        a, b = live[ok], live[ok] + k
-        found[b] += 1
-        best[b] = np.minimum(best[b], far[ok] << 32 | a)
-    hit = np.flatnonzero(found)
-    a = best[hit] & 0xFFFFFFFF
-    columns = [doc[hit], line[hit], found[hit] > 1, (best[hit] >> 32).astype(np.int32), doc[a], line[a]]
+        later = live + k
+        maybe = (np.bitwise_count(sign[live] ^ sign[later]) <= n[later] // 4) | (n[later] > 128)
+        out.append(passing(live[maybe], later[maybe]))
+    for g in np.flatnonzero(size > SMALL_GROUP).tolist():
+        first = int(edge[g])
+        for b in range(first + 1, int(edge[g + 1])):
+            a = _maybe(n, sign, slice(first, b), b)
+            if not len(a):
+                continue
+            few = a
+            if len(a) > 8 * SMALL_GROUP:  # a crowd of near copies: the likeliest will do if they pass
+                few = a[np.argpartition(np.bitwise_count(sign[a] ^ sign[b]), SMALL_GROUP)[:SMALL_GROUP]]
+            found = passing(few, np.full(len(few), b))
+            if len(few) < len(a):
+                if len(found[0]) > MOST_LISTED:
+                    more[b] = True
+                else:
+                    found = passing(a, np.full(len(a), b))
+            if len(found[0]) > MOST_LISTED:
+                near = np.lexsort((found[0], found[2]))[:MOST_LISTED]
+                more[b] = True
+                found = [x[near] for x in found]
+            out.append(found)
+    a, b, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((a, far, b))
+    a, b, far = a[order], b[order], far[order]
+    start = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1]) if len(b) else np.zeros(0, np.int64)
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    more[b[place >= MOST_LISTED]] = True
+    a, b, far = (x[place < MOST_LISTED] for x in (a, b, far))
+    columns = [doc[b], line[b], more[b], far.astype(np.int32), doc[a], line[a]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "line", "others", "far", "a_doc", "a_line"])
 
 
@@ -292,11 +409,13 @@ def _keyed(sets: DataFrame, most_paired: int, levels: int, made: list) -> tuple[
 
 
 def _likely(keyed, crowd, levels: int) -> DataFrame:
-    """(doc, line, others, a_doc, a_line): for every line with an earlier one that passes the filters, the likeliest of these. One row a line."""
+    """(doc, line, others, a_doc, a_line, listed): for every line with an earlier one that passes the filters, the likeliest of these and the next ones. One row a line.
+
+    ``others``: more than the listed ones pass.
+    """
     found = []
     for level, rows in keyed:
-        dealt = rows.select(*_ROW).repartition("key").sortWithinPartitions("key", "doc", "line")
-        found.append(_by_group(dealt, ["key"], lambda t, level=level: _nearest(t, level), _LIKELY))
+        found.append(_grouped(rows, lambda t, level=level: _nearest(t, level), _LIKELY))
     if crowd is not None:  # sixteen early members of each stand for it
         place = F.struct("doc", "line", "n", *_SIGNS, "i")
         stars = crowd.groupBy("key", F.pmod(F.xxhash64("doc", "line"), F.lit(16)).alias("salt")).agg(F.min(place).alias("p")).select("key", "p.*")
@@ -307,15 +426,16 @@ def _likely(keyed, crowd, levels: int) -> DataFrame:
         every = every.unionByName(x)
     one = every.groupBy("doc", "line").agg(
         F.max("others").alias("others"), F.min(F.struct("far", "a_doc", "a_line")).alias("best"),
-        F.min(F.struct("a_doc", "a_line")).alias("low"), F.max(F.struct("a_doc", "a_line")).alias("high"),
+        F.collect_set(F.struct("a_doc", "a_line")).alias("listed"),
     )
-    return one.select("doc", "line", (F.col("others") | (F.col("low") < F.col("high"))).alias("others"), "best.a_doc", "best.a_line")
+    return one.select("doc", "line", "others", "best.a_doc", "best.a_line", "listed")
 
 
-def _line_words(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def _line_words(docs: DataFrame, wanted: DataFrame, key: str, text: str, made: list) -> DataFrame:
     """(doc, line, words): the distinct words of the wanted lines (doc, line), between line breaks."""
-    lists = wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text")).join(lists, "doc")
+    lists = materialize(wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")
+    made.append(lists)
+    d = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text")).join(_small(lists), "doc")
 
     def run(batches):
         for batch in batches:
@@ -337,9 +457,10 @@ def _similar(a: bytes, b: bytes) -> bool:
 
 
 def _verified(likely: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line) of those whose likeliest earlier line is similar, by the words themselves."""
+    """(doc, line) of those whose earlier line (a_doc, a_line) is similar, by the words themselves."""
+    made: list[DataFrame] = []
     wanted = likely.select("doc", "line").unionByName(likely.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")))
-    found = materialize(_line_words(docs, wanted, key, text), "words")
+    found = materialize(_line_words(docs, wanted, key, text, made), "words")
     a = found.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
     both = likely.join(a, ["a_doc", "a_line"]).join(found, ["doc", "line"]).select("doc", "line", "a_words", "words")
 
@@ -349,7 +470,7 @@ def _verified(likely: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
             yield batch.filter(pa.array(ok, pa.bool_())).select(["doc", "line"])
 
     good = materialize(both.mapInArrow(run, "doc bigint, line int").distinct(), "settled")
-    free(found)
+    free(found, *made)
     return good
 
 
@@ -374,8 +495,9 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
         level, opened = (t.column(c).to_numpy(zero_copy_only=False) for c in ("level", "open"))
         first = np.searchsorted(k, k)
         keep = np.zeros(len(k), bool)
+        sign = signs[0].view(np.uint64)
         for b in np.flatnonzero(opened).tolist():
-            before = np.arange(first[b], b)
+            before = _maybe(n, sign, slice(int(first[b]), b), b)
             ok, _ = _passing(n, i, signs, before, np.full(len(before), b), level[b])
             ok &= (doc[before] != doc[b]) | (line[before] != line[b])
             keep[before[ok]] = True
@@ -398,7 +520,7 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
     every = materialize(every, "open-groups")
     made.append(every)
     size = every.groupBy("key").agg(F.ceil(F.count("*") / most_held).cast("int").alias("p"))
-    found = materialize(_line_words(docs, every.select("doc", "line"), key, text), "words")
+    found = materialize(_line_words(docs, every.select("doc", "line"), key, text, made), "words")
     made.append(found)
     mine = F.pmod(F.xxhash64("doc", "line"), F.col("p")).cast("int")
     cells = F.expr("explode(array_distinct(concat(transform(sequence(0, p - 1), y -> mine * p + y), if(open, transform(sequence(0, p - 1), x -> x * p + mine), array())))) as cell")
@@ -429,25 +551,35 @@ def _rest(keyed, crowd, levels: int, left: DataFrame, docs: DataFrame, key: str,
 def later_matches(sets: DataFrame, docs: DataFrame, key: str, text: str, most_paired: int = MOST_PAIRED, levels: int = LEVELS) -> DataFrame:
     """(doc, line) of the sets that are similar to an earlier one.
 
-    First the likeliest earlier line of each, one a line, is verified on the words. Lines that
-    it doesn't settle and that have other candidates are then compared with all of these.
+    First the likeliest earlier line of each is verified on the words, then, for lines that it
+    doesn't settle, the next ones. Lines that are still open and have more candidates are then
+    compared with all of these.
     """
     made: list[DataFrame] = []
     keyed, crowd = _keyed(sets, most_paired, levels, made)
     likely = materialize(_likely(keyed, crowd, levels), "likely")
-    settled = _verified(likely, docs, key, text)
+    gone = _verified(likely, docs, key, text)
+    listed = likely.where("size(listed) > 1").join(gone, ["doc", "line"], "left_anti")
+    listed = listed.select("doc", "line", F.struct("a_doc", "a_line").alias("best"), F.explode("listed").alias("next"))
+    listed = materialize(listed.where("next <> best").select("doc", "line", "next.*"), "next")
+    if not listed.isEmpty():
+        gone = _with(gone, _verified(listed, docs, key, text))
     left = likely.where("others").select("doc", "line")
     left = left if crowd is None else left.unionByName(crowd.select("doc", "line")).distinct()
-    left = materialize(left.join(settled, ["doc", "line"], "left_anti"), "left")
-    gone = settled
+    left = materialize(left.join(gone, ["doc", "line"], "left_anti"), "left")
     if not left.isEmpty():
-        more = materialize(_rest(keyed, crowd, levels, left, docs, key, text, most_paired, made), "settled")
-        gone = materialize(settled.unionByName(more), "settled")
-        free(settled, more)
-    free(likely, left, *made)
+        gone = _with(gone, materialize(_rest(keyed, crowd, levels, left, docs, key, text, min(most_paired, MOST_HELD), made), "settled"))
+    free(likely, listed, left, *made)
     return gone
 
 
+def _with(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of two written tables in one; the two go."""
+    both = materialize(one.unionByName(other), "settled")
+    free(one, other)
+    return both
+
+
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, lines): of every document, the numbers of lines that stay, among those with a word."""
     counts = word_counts(docs, text)

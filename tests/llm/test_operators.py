@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -362,6 +363,56 @@ def test_crowd_of_strangers(spark, monkeypatch):
     assert {r.doc_id: r.new_text for r in line_dedup.dedup_lines(df).collect()} == kept_text(rows)
 
 
+def test_crowd_keeps_its_words(spark):
+    """A word that 1500 lines share stays one key a line: no longer keys, whose number grows with the square of a prefix."""
+    rnd = random.Random(9)
+    core, pool = [f"core{i}" for i in range(16)], [f"pool{i}" for i in range(120)]
+    rows = [(i, " ".join(core + rnd.sample(pool, 4))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = line_dedup.line_sets(df, line_dedup.rarity_classes(line_dedup.word_counts(df)), "doc_id", "text")
+    frequent = sets.withColumn("prefix", F.expr("transform(prefix, (x, i) -> if(i = 0, shiftleft(200L, 55), x))"))
+    keyed, crowd = line_dedup._keyed(frequent, line_dedup.MOST_PAIRED, line_dedup.LEVELS, [])
+    assert crowd is None and len(keyed) == 1 and keyed[0][1].count() == 1500 * 5
+
+
+def test_nearest(monkeypatch):
+    """Packed rows come back as they were; the nearest of each row are those of a plain double loop, in small and large groups."""
+    rng = np.random.default_rng(3)
+    size = [1, 2, 5, 30, 64, 65, 700]
+    key = np.repeat(np.arange(len(size)) * 1000 - 2000, size)
+    rows = len(key)
+    base = rng.integers(0, 1 << 62, (4, 4))
+    pick = rng.integers(0, 4, rows)
+    t = {"key": key, "doc": np.arange(rows) // 2, "line": (np.arange(rows) % 2).astype(np.int32), "n": rng.integers(15, 60, rows).astype(np.int32), "i": rng.integers(0, 2, rows).astype(np.int32)}
+    for j, c in enumerate(["sign", "s1", "s2", "s3"]):
+        t[c] = base[pick, j] ^ (np.int64(1) << rng.integers(0, 62, rows))
+    t["n"][pick == 0] = rng.integers(170, 200, (pick == 0).sum())
+    t["s1"][t["n"] <= 40] = 0
+    t["s2"][t["n"] <= 160] = t["s3"][t["n"] <= 160] = 0
+    back = line_dedup._unpack(line_dedup._pack(t))
+    assert all((back[c] == x).all() and back[c].dtype == x.dtype for c, x in t.items())
+    signs = [t[c] for c in ["sign", "s1", "s2", "s3"]]
+    expected = {}
+    for b in range(rows):
+        a = np.flatnonzero(key[:b] == key[b])
+        ok, far = line_dedup._passing(t["n"], t["i"], signs, a, np.full(len(a), b), 1)
+        expected[b] = sorted(zip(far[ok].tolist(), a[ok].tolist(), strict=True))
+    for most, small in ((8, 64), (1, 1), (10**6, 64)):
+        monkeypatch.setattr(line_dedup, "MOST_LISTED", most)
+        monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+        got, more = {}, set()
+        for r in line_dedup._nearest(pa.table(t), 1).to_pylist():
+            b = 2 * r["doc"] + r["line"]
+            got.setdefault(b, []).append((r["far"], 2 * r["a_doc"] + r["a_line"]))
+            if r["others"]:
+                more.add(b)
+        assert set(got) == {b for b, x in expected.items() if x} and more == {b for b, x in expected.items() if len(x) > most}
+        for b, found in got.items():
+            assert set(found) <= set(expected[b]) and len(found) == min(most, len(expected[b]))
+            if small == 64 and most > 8:
+                assert sorted(found) == expected[b]
+
+
 def test_word_hashes():
     h, first = line_dedup.word_hashes(b" ab\tcd ab\n\x0bab cdx")
     assert first.tolist() == [1, 4, 7, 11, 14] and h[0] == h[2] == h[3] and len(set(h.tolist())) == 3
