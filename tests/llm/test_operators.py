@@ -397,9 +397,10 @@ def test_nearest(monkeypatch):
         a = np.flatnonzero(key[:b] == key[b])
         ok, far = line_dedup._passing(t["n"], t["i"], signs, a, np.full(len(a), b), 1)
         expected[b] = sorted(zip(far[ok].tolist(), a[ok].tolist(), strict=True))
-    for most, small in ((8, 64), (1, 1), (10**6, 64)):
+    for most, small, crowd in ((8, 64, 512), (1, 1, 16), (10**6, 64, 512), (10**6, 8, 10**6)):
         monkeypatch.setattr(line_dedup, "MOST_LISTED", most)
         monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
         got, more = {}, set()
         for r in line_dedup._nearest(pa.table(t), 1).to_pylist():
             b = 2 * r["doc"] + r["line"]
@@ -409,8 +410,8 @@ def test_nearest(monkeypatch):
         assert set(got) == {b for b, x in expected.items() if x} and more == {b for b, x in expected.items() if len(x) > most}
         for b, found in got.items():
             assert set(found) <= set(expected[b]) and len(found) == min(most, len(expected[b]))
-            if small == 64 and most > 8:
-                assert sorted(found) == expected[b]
+            if crowd > 16:
+                assert sorted(found) == expected[b][:most]
 
 
 def test_word_hashes():
