@@ -152,7 +152,7 @@ def pack(
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).encode
+        texts = encoder(tokenizer)
         state = {"n": 0}
         rows: list[tuple] = []
 
@@ -169,10 +169,11 @@ def pack(
         packer = Packer(size, windows, min_cut, emit)
         for batch in batches:
             for block in in_blocks(batch, pa.compute.binary_length(batch.column(1)).to_pylist(), 4 << 20):
-                for k, t in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                    ids = encode(t) + end
+                for k, ids in zip(block.column(0).to_pylist(), texts.encode_all(block.column(1).to_pylist()), strict=True):
+                    ids += end
                     packer.add(k, 0, ids, len(ids) // 4)
                 yield flush()
+        texts.forget()  # the worker goes on to other tasks and operators
         for window in packer.leftovers():
             emit(window, True)
         yield flush()

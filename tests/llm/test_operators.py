@@ -42,6 +42,24 @@ def test_encoder(name):
         assert e.encode(text) == pack_bytes(ids[:-1]), text
 
 
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_encoder_on_many_texts(name):
+    e, rnd = Encoder(tokenizer_file(name), most=300), random.Random(2)
+    letters = [*"aaeeithsnoABß é½²9ªµ.,!|-\xad\u2019日", "'s", "'", " ", " ", "\n", "ing", "x" * 70]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + ["a<|endoftext|> b", "  two", "end ", "o'clock it's ''s 'sabc"]
+    want = [pack_bytes(x[:-1]) for x in ids_of(name, texts, 0)]
+    assert [*e.encode_all(texts)] == want
+    e.forget()
+    assert not (e.units or e.first or e.spaced or e.spaced.older)
+    assert [*e.encode_all(texts[::-1])] == want[::-1]
+    if name == BYTES:  # new words are merged together, not one by one
+        e.forget()
+        e.tokenize = None
+        words = "ordinary prose, of many words; none is known yet\nnor seen " + " ".join(f"w{i}x{i * 7}" for i in range(2000))
+        e.first["ordinary"] = e._whole("ordinary")
+        assert [*e.encode_all([words])] == [pack_bytes(x[:-1]) for x in ids_of(name, [words], 0)]
+
+
 def test_packing(spark, awkward, none):
     rows = packing.pack(awkward.repartition(5), tokenizer_file(BYTES), 1, size=256, windows=3).collect()
     want = Counter(zlib.crc32(pack_bytes(x)) for x in ids_of(BYTES, [r.text or "" for r in awkward.collect()], 1))
