@@ -9,6 +9,8 @@ pieces of many texts are merged together, in arrays.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -247,9 +249,11 @@ class Encoder:
                 yield self._joined(t, p) if p else self.encode(t)
 
     def forget(self) -> None:
-        """Drop the remembered ids, which else stay in a worker between tasks."""
+        """Drop the remembered ids, which else stay in a worker between tasks, and give the memory back."""
         for cache in (self.units, self.first, self.spaced):
             cache.empty()
+        with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 _ENCODERS: dict[str, Encoder] = {}

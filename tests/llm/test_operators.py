@@ -60,6 +60,25 @@ def test_encoder_on_many_texts(name):
         assert [*e.encode_all([words])] == [pack_bytes(x[:-1]) for x in ids_of(name, [words], 0)]
 
 
+def test_packing_leaves_no_caches_in_a_worker(spark):
+    """A worker is used again by other operators; what the encoder remembered must not stay in it."""
+
+    path = tokenizer_file(BYTES)
+
+    def held(batches):
+        from chronoloom.llm.tokens import _ENCODERS
+
+        for _ in batches:
+            pass
+        n = [len(e.spaced) + len(e.spaced.older) + len(e.units) + len(e.first) for p, e in _ENCODERS.items() if p == path]
+        yield pa.RecordBatch.from_arrays([pa.array([len(n)]), pa.array([sum(n)])], ["encoders", "remembered"])
+
+    docs = spark.range(400, numPartitions=8).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 50), i -> concat('w', id * i))) as text")
+    assert packing.pack(docs, tokenizer_file(BYTES), 1).count() >= 400
+    left = spark.range(64, numPartitions=64).mapInArrow(held, "encoders bigint, remembered bigint").collect()
+    assert max(r.encoders for r in left) == 1 and max(r.remembered for r in left) == 0
+
+
 def test_packing(spark, awkward, none):
     rows = packing.pack(awkward.repartition(5), tokenizer_file(BYTES), 1, size=256, windows=3).collect()
     want = Counter(zlib.crc32(pack_bytes(x)) for x in ids_of(BYTES, [r.text or "" for r in awkward.collect()], 1))
