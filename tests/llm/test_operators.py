@@ -217,6 +217,26 @@ def test_passage_links_to_every_earlier_text(spark):
     assert {(r.match_id, r.doc_id) for r in rows} == {(a, b) for b in docs for a in docs if a < b}
 
 
+def test_passages_of_equal_sets_are_one_class(spark):
+    """Two runs of words, each time of other lengths: all have the same shingles and are linked to the first text, not all to all."""
+    rows, _ = passages_of(spark, {k: " ".join(["of"] * (10 + k) + ["the"] * (40 - k)) for k in range(1, 16)})
+    assert {(r.match_id, r.doc_id) for r in rows} == {(1, k) for k in range(2, 16)} and all(r.jaccard == 1 for r in rows)
+
+
+def test_passages_of_a_crowd(spark):
+    """More variants of one passage than are compared with one another outright: still all links, and the same ones in cells."""
+    rnd = random.Random(5)
+    base = prose(rnd, 50)
+    docs = {k: edited(rnd, base, rnd.sample([0, 1, 2, 25, 47, 48, 49], rnd.randrange(1, 3))) for k in range(1, 31)}
+    rows, words = passages_of(spark, docs)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(46)} for k, w in words.items()}
+    want = {(a, b) for a in docs for b in docs if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(r.match_id, r.doc_id) for r in rows}
+    assert got <= want and len(want) > 50 and len(got) >= 0.98 * len(want)
+    d = spark.createDataFrame([(k, t.encode()) for k, t in docs.items()], "doc bigint, text binary").coalesce(1)
+    assert {(r.a, r.b) for r in passages.verified(d, most_held=7).collect()} == got
+
+
 def simhash_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
