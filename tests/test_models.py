@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import arrays as A
 from chronoloom.functions import catch22, distances, kernels, spectral
 from chronoloom.operators import ensemble, models, order, quality, smoothing
+from chronoloom.plans import catalog
 
 RND = np.random.default_rng(3)
 
@@ -199,6 +201,14 @@ def test_one_feature_alone(spark, name, monkeypatch):
     assert spark.createDataFrame([(x.tolist(),)], "x array<double>").select(catch22.catch22(F.col("x"), names=(name,)).alias("f")).first().f.asDict() == {name: pytest.approx(want)}
 
 
+@pytest.mark.parametrize("x", [[0.66, 0.12, 0.36, 2.17, 0.37, 1.87, 1.31, 0.51, 0.55, 0.47], [1.13, 1.07, 0.77, 1.4, 2.12, 0.47, 1.09, 0.77, 1.85, 0.88, 0.27]])
+def test_ami2_of_a_point_on_an_edge(x):
+    con = duckdb.connect()
+    con.execute("create table events (user_id bigint, ts timestamp, value double)")
+    con.executemany("insert into events values (1, ?, ?)", [(f"2024-01-{t + 1:02}", v) for t, v in enumerate(x)])
+    assert con.execute(catalog.ORACLES["q_ami2"]).fetchall() == [(1, round(catch22.features(np.array(x), names=("ami2",))["ami2"], 6))]
+
+
 def test_tuning_shuffles_cases_once(spark):
     """Votes of all powers are counted inside a case: no shuffle holds a row for each case, power and label."""
     rnd = random.Random(4)
