@@ -237,6 +237,17 @@ def test_passages_of_a_crowd(spark):
     assert {(r.a, r.b) for r in passages.verified(d, most_held=7).collect()} == got
 
 
+def test_passages_around_a_shared_one(spark):
+    """Texts that hold one passage, each in its own surroundings: those that reach beyond its ends are linked to few texts, not all to all."""
+    rnd = random.Random(8)
+    shared = prose(rnd, 68)
+    rows, words = passages_of(spark, {k: " ".join([prose(rnd, 20), shared, prose(rnd, 20)]) for k in range(1, 25)})
+    pairs = {(r.match_id, r.doc_id) for r in rows}
+    assert {(1, k) for k in range(2, 25)} <= pairs and len(pairs) <= 3 * 24
+    want, lost = unmatched(words, rows)
+    assert len(want) > 23 * 25 and len(lost) <= 0.02 * len(want)
+
+
 def simhash_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
